@@ -279,7 +279,7 @@ class Marks:
             if any(g.startswith(f) or f.startswith(g) for g in self.weight):
                 continue
             # what others explain already may confirm a mark, but not make it
-            if gain(max(1, len(pool[f] & uncovered)), c) >= bar * 0.5 or gain(k, c) >= 3 * bar:
+            if gain(max(1, len(pool[f] & uncovered)), c) >= bar * 0.5 or gain(k, c) >= 1.5 * bar:
                 self.weight[f] = (k + 0.5) / (k + c + 1.0)
                 uncovered -= pool[f]
                 if len(self.weight) >= MARKS:
