@@ -16,6 +16,10 @@ the id and the text are ignored.
 
 from __future__ import annotations
 
+import json
+import struct
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -52,40 +56,73 @@ class WordTokenizer:
 
     ODD = regex.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x85\xa0İ]|[^\u0000-ɏ‐-‧€]")
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.model = self.tok.model
         self.alphabet = _byte_alphabet()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        self.first = {c: vocab[c] for c in self.alphabet}
+        self.last = {c: vocab[c + end] for c in self.alphabet}
+        #: a pair of ids to its rank, and the rank to the id of both together
+        self.rank: dict[int, int] = {}
+        self.joined: list[int] = []
+        for k, pair in enumerate(model["merges"]):
+            a, b = pair.split(" ") if isinstance(pair, str) else pair
+            self.rank[vocab[a] << 20 | vocab[b]] = k
+            self.joined.append(vocab[a + b])
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.most = most
 
+    def merge(self, s: str) -> bytes:
+        """Ids of a short piece: the pair of least rank first, leftmost among equals."""
+        first, get, none = self.first, self.rank.get, 1 << 30
+        ids = [first[c] for c in s[:-1]]
+        ids.append(self.last[s[-1]])
+        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == none:
+                break
+            i = ranks.index(least)
+            ids[i : i + 2] = [self.joined[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def piece(self, p: str) -> bytes:
         out = self.pieces.get(p)
         if out is None:
             s = p if p.isascii() and p.isalpha() else "".join([self.alphabet[b] for b in p.encode("utf-8")])
-            out = np.array([t.id for t in self.model.tokenize(s)], "<u4").tobytes()
-            if len(self.pieces) >= self.most:
-                self.pieces.clear()
-            self.pieces[p] = out
+            out = self.merge(s) if len(s) <= 64 else np.array([t.id for t in self.model.tokenize(s)], "<u4").tobytes()
+            # a full cache stays as it is: frequent pieces come first
+            if len(self.pieces) < self.most and len(p) <= 64:
+                self.pieces[p] = out
         return out
 
     def word(self, w: str) -> bytes:
-        import unicodedata
-
         low = (w if w.isascii() else unicodedata.normalize("NFC", w)).lower()
-        out = self.piece(low) if low.isascii() and low.isalpha() else b"".join([self.piece(p) for p in SPLIT.findall(low)])
-        if len(w) <= 64:
-            if len(self.words) >= self.most:
-                self.words.clear()
+        if low.isalpha():
+            out = self.piece(low)
+        elif low[-1] in ".," and low[:-1].isalpha():
+            out = self.piece(low[:-1]) + self.piece(low[-1])
+        else:
+            out = b"".join([self.piece(p) for p in SPLIT.findall(low)])
+        if len(self.words) < self.most // 2 and len(w) <= 64:
             self.words[w] = out
         return out
 
-    def ids(self, text: str) -> np.ndarray:
-        if self.ODD.search(text):
+    def ids(self, text: str, plain: bool = False) -> np.ndarray:
+        """``plain``: the text is known to have no byte marked in UNSURE."""
+        if not plain and self.ODD.search(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
         words, get = text.split(), self.words.get
         found = [get(w) for w in words]
@@ -94,6 +131,11 @@ class WordTokenizer:
         return np.frombuffer(b"".join(found), "<u4")
 
 
+#: bytes of a text that may have characters for the library: controls, and all beyond those of U+00C0 to U+00FF
+UNSURE = np.zeros(256, bool)
+UNSURE[[*range(9), 0x0B, 0x0C, *range(0x0E, 0x20), 0xC2, *range(0xC4, 0x100)]] = True
+
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
@@ -249,9 +291,13 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field("_id").type
-            ids, texts = batch.column("_id").to_pylist(), batch.column("_text")
-            for name, text in zip(ids, texts):
-                t = np.append(tok.ids(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
+            data, offs = K.text_buffers(batch.column("_text"))
+            unsure = np.zeros(batch.num_rows, bool)
+            unsure[np.searchsorted(offs, np.flatnonzero(UNSURE[data]), side="right") - 1] = True
+            at, raw = offs.tolist(), data.tobytes()
+            for i, name in enumerate(batch.column("_id").to_pylist()):
+                text = raw[at[i] : at[i + 1]].decode("utf-8")
+                t = np.append(tok.ids(text, not unsure[i]), np.uint32(END_ID)).astype("<u4")
                 names.append(name)
                 tokens.append(t)
                 held += len(t)

@@ -35,7 +35,7 @@ WINDOW = 2
 HIDDEN = 32
 VOCABULARY = 20_000
 THRESHOLD = 0.7
-MAX_TRAIN = 6000
+MAX_TRAIN = 5000
 MAX_TRAIN_BYTES = 65_536
 
 _roll = K.roll(7)
@@ -73,10 +73,13 @@ def index_parts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bits & (DIM - 1), 1.0 - 2.0 * ((bits >> 8) & 1)
 
 
-def index_sums(h: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+def index_sums(h: np.ndarray, group: np.ndarray, n: int, step: int = 500_000) -> np.ndarray:
     """The sum of index vectors by group."""
-    pos, sign = index_parts(h)
-    return np.bincount((group[:, None] * DIM + pos).ravel(), sign.ravel(), n * DIM).reshape(n, DIM)
+    out = np.zeros(n * DIM)
+    for a in range(0, len(h), step):
+        pos, sign = index_parts(h[a : a + step])
+        out += np.bincount((group[a : a + step, None] * DIM + pos).ravel(), sign.ravel(), n * DIM)
+    return out.reshape(n, DIM)
 
 
 class Vectors:
@@ -94,9 +97,9 @@ class Vectors:
             same = doc[step:] == doc[:-step]
             for mine, other in ((slice(step, None), slice(None, -step)), (slice(None, -step), slice(step, None))):
                 ok = same & (word[mine] >= 0)
-                for a in range(0, len(same), 2_000_000):
-                    o = ok[a : a + 2_000_000]
-                    total += index_sums(h[other][a : a + 2_000_000][o], word[mine][a : a + 2_000_000][o], len(often))
+                for a in range(0, len(same), 500_000):
+                    o = ok[a : a + 500_000]
+                    total += index_sums(h[other][a : a + 500_000][o], word[mine][a : a + 500_000][o], len(often))
         size = np.linalg.norm(total, axis=1, keepdims=True)
         self.hash, self.vector = known[often], (total / np.maximum(size, 1e-9)).astype(np.float32)
 
@@ -173,11 +176,13 @@ class Model:
         self.vectors = self.net = None
         if len(set(y.tolist())) < 2:
             return
-        raw = [t.encode("utf-8") for t in texts]
-        offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        h, doc = words(np.frombuffer(b"".join(raw), np.uint8), offs)
-        self.vectors = Vectors(h, doc)
-        x = self.vectors.pool(h, doc, len(raw))
+        blocks = []
+        for a in range(0, len(texts), 256):
+            raw = [t.encode("utf-8") for t in texts[a : a + 256]]
+            offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+            blocks.append((*words(np.frombuffer(b"".join(raw), np.uint8), offs), len(raw), a))
+        self.vectors = Vectors(np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] + b[3] for b in blocks]))
+        x = np.vstack([self.vectors.pool(h, doc, n) for h, doc, n, _ in blocks])
         held = np.arange(len(y)) % 5 == 4
         if len(set(y[~held].tolist())) < 2:
             held[:] = False

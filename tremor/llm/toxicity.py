@@ -34,7 +34,7 @@ from tremor.llm import kernel as K
 from tremor.llm.quality import training_rows
 
 THRESHOLD = 0.7
-MAX_TRAIN = 12_000
+MAX_TRAIN = 6000
 MAX_TRAIN_BYTES = 65_536
 MARKS = 2000  # at most so many selected words and beginnings
 
