@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 # bytes that end a word: space and \t \n \v \f \r
 SPACE = np.zeros(256, bool)

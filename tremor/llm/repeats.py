@@ -211,7 +211,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = src.join(per.hint("shuffle_hash"), ["k1", "k2"], "left").select("_row", "_id", "_text", "spans")
 
     def run(batches):
-        for batch in batches:
+        for batch, _, _ in K.blocks(batches, "_text", 4 * K.BLOCK_BYTES):
             raw = K._strings(batch.column("_text")).cast(pa.large_binary()).to_pylist()
             kept, runs = [], []
             for text, spans in zip(raw, batch.column("spans").to_pylist()):
