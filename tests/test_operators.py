@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tremor.functions import scalars as S
 from tremor.functions import signal as G
-from tremor.operators import bridge, cluster, events, samples, stats, tracking, traffic
+from tremor.operators import bridge, cluster, correlate, events, samples, stats, tracking, traffic
 from tremor.operators import windows as X
 from tremor.sources import files
 
@@ -143,6 +143,16 @@ def test_dbscan_and_scale(spark):
     assert z[0] == pytest.approx(0, abs=1e-9) and z[1] == pytest.approx(1) and z[2] == 0
 
 
+def test_chains_follow_the_most_alike(spark):
+    up, flat = [math.sin(k) for k in range(20)], [1.0] * 20
+    # 20 m at 60 to 150 km/h take 0.48 to 1.2 s
+    rows = [(0, 0.0, 1, 10.0, 1.0, up), (0, 0.0, 2, 50.0, 1.0, up), (1, 20.0, 3, 10.8, 1.0, flat), (1, 20.0, 4, 11.0, 1.0, up), (1, 20.0, 5, 10.1, 1.0, up), (1, 20.0, 6, 10.9, 9.0, up), (2, 40.0, 7, 11.9, 1.0, up)]
+    d = spark.createDataFrame([("h", *r[:5], 1.0, r[5]) for r in rows], "hour string, place long, dist double, event long, t double, amp double, duration double, waveform array<double>")
+    got = [(r.chain, r.place, r.event) for r in correlate.chains(d, "hour").orderBy("chain", "place").collect()]
+    assert got == [(0, 0, 1), (0, 1, 4), (0, 2, 7)]
+    assert correlate.chains(d.where("place = 0"), "hour").count() == 0
+
+
 def test_samples_and_errors(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "a.csv").write_text("time;030911FF_x;030911FF_y\n2025/03/01 10:00:00:010;1.5;\n2025/03/01 10:00:00:020;2.5;7\nbad;1;1\n")
