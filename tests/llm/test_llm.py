@@ -157,6 +157,17 @@ def test_line_dedup_equals_brute_force(spark, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_line_dedup_with_different_texts_of_one_id(spark):
+    rng = random.Random(14)
+    body = "\n".join(prose(rng, 5) for _ in range(30))
+    rows = [(1, body), (2, "short"), (2, body), (2, None), (2, body), (3, "x\ny\n" + body)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in line_dedup.dedup(d).collect()]
+    assert len(got) == 6 and {(1, body), (2, "short"), (2, None)} <= set(got)
+    cut = [t for i, t in got if i == 2 and t not in ("short", None)]
+    assert cut[0] == cut[1] and len(cut[0]) < 100 and len(next(t for i, t in got if i == 3)) < len(body)
+
+
 def test_line_chunks_resist_shifts():
     rng = random.Random(5)
     body = [prose(rng, 6) for _ in range(60)]

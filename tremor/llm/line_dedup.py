@@ -10,8 +10,10 @@ nothing.
 
 Defined cases: a null text stays null and an empty one empty; a line that stands
 alone in its chunk is never removed; repeated rows (the same id twice) count as
-occurrences of the same document and are cut alike; all columns are carried,
-clashing names included, as the work happens on renamed copies.
+occurrences of the same document and are cut alike; where rows of one id have
+different texts, a row loses a chunk only if it has it at that place; all
+columns are carried, clashing names included, as the work happens on renamed
+copies.
 """
 
 from __future__ import annotations
@@ -84,37 +86,46 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select("_id", "_text").where("_id is not null and _text is not null").mapInArrow(run, f"_id {kind}, k int, h1 bigint, h2 bigint")
 
 
+def _wanted(ks, h1s, h1: np.ndarray) -> list[int]:
+    """The places that exist in a text and hold the chunk that is meant: rows of one id may differ."""
+    return [k for k, h in zip(ks, h1s, strict=True) if k < len(h1) and h1[k] == h]
+
+
 def _bytes_of(joined: DataFrame) -> DataFrame:
     """(h1, h2, body) of the wanted chunks of each document."""
 
     def run(batches):
         for batch in batches:
-            wanted = batch.column("ks").to_pylist()
+            wanted, hashes = batch.column("ks").to_pylist(), batch.column("hs").to_pylist()
             data, offs = K.text_buffers(batch.column("_text"))
             for a, b in K.cut_rows(offs, K.BLOCK_BYTES):
                 d, o = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
                 s, e, _, doc, k = chunk_spans(d, o)
-                first = np.searchsorted(doc, np.arange(b - a))
-                pick = np.array([first[i - a] + x for i in range(a, b) for x in wanted[i]], np.int64)
-                s, e, doc = s[pick], e[pick], doc[pick]
+                first = np.searchsorted(doc, np.arange(b - a + 1))
                 h1, h2, stop = _key(d, s, e, e == o[doc + 1])
+                pick = np.array([first[i - a] + x for i in range(a, b) for x in _wanted(wanted[i], hashes[i], h1[first[i - a] : first[i - a + 1]])], np.int64)
+                s, h1, h2, stop = s[pick], h1[pick], h2[pick], stop[pick]
                 raw = d.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array([raw[x:y] for x, y in zip(s.tolist(), stop.tolist())], pa.binary())], ["h1", "h2", "body"])
 
-    return joined.select("_text", "ks").mapInArrow(run, "h1 bigint, h2 bigint, body binary")
+    return joined.select("_text", "ks", "hs").mapInArrow(run, "h1 bigint, h2 bigint, body binary")
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(_id, ks): the places of the chunks that go, one row for each document that loses any."""
+    """(_id, ks, hs): the places and hashes of the chunks that go, one row for each id that loses any."""
     found = K.materialise(chunks(docs).distinct(), "chunks")
     again = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "k")).alias("first")).where("n > 1").drop("n")
     member = K.materialise(found.join(again, ["h1", "h2"]).select("_id", "k", "h1", "h2", "first"), "members")
     # every occurrence's bytes are compared: equal ones are combined in the task that reads them
-    places = member.groupBy("_id").agg(F.sort_array(F.collect_list("k")).alias("ks"))
-    bodies = _bytes_of(docs.select("_id", "_text").dropDuplicates(["_id"]).join(places.hint("shuffle_hash"), "_id"))
+    bodies = _bytes_of(docs.select("_id", "_text").join(_places(member).hint("shuffle_hash"), "_id"))
     mixed = bodies.groupBy("h1", "h2", "body").agg(F.count(F.lit(1)).alias("n")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1")
     gone = member.where(F.struct("_id", "k") != F.col("first")).join(mixed, ["h1", "h2"], "left_anti")
-    return gone.groupBy("_id").agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    return _places(gone)
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    per = rows.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("k", "h1"))).alias("p"))
+    return per.select("_id", F.col("p.k").alias("ks"), F.col("p.h1").alias("hs"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,11 +139,14 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         for batch in batches:
             at = batch.schema.get_field_index("_text")
             out, n_chunks, n_lines = batch.column(at).to_pylist(), [], []
-            for i, ks in enumerate(batch.column("ks").to_pylist()):
+            for i, (ks, hs) in enumerate(zip(batch.column("ks").to_pylist(), batch.column("hs").to_pylist(), strict=True)):
                 cut = 0
+                if ks and out[i] is None:
+                    ks = None
                 if ks:
                     d = np.frombuffer(out[i].encode("utf-8"), np.uint8)
                     s, e, lines, _, _ = chunk_spans(d, np.array([0, len(d)]))
+                    ks = _wanted(ks, hs, _key(d, s, e, e == len(d))[0])
                     keep = np.ones(len(s), bool)
                     keep[ks] = False
                     raw = d.tobytes()
@@ -143,6 +157,6 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(out, pa.string()), pa.array(n_chunks, pa.int32()), pa.array(n_lines, pa.int32())], ["_row", "_text", "n_chunks_removed", "n_lines_removed"])
 
     schema = joined.select("_row", "_text").withColumns({"n_chunks_removed": F.lit(0), "n_lines_removed": F.lit(0)}).schema
-    cut = joined.select("_row", "_text", "ks").mapInArrow(run, schema)
+    cut = joined.select("_row", "_text", "ks", "hs").mapInArrow(run, schema)
     extra = {c: c if c not in names else f"{c}_" for c in ("n_chunks_removed", "n_lines_removed")}
     return cut.select(*(F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in names), *(F.col(c).alias(to) for c, to in extra.items()))
