@@ -228,6 +228,23 @@ def test_near_classes_equal_brute_force(spark, empty):
     assert {r.doc_id: r.class_id for r in bagminhash.classes(n).collect()} == {None: None, 7: 7}
 
 
+def form_letters(pairs):
+    """Texts 2i and 2i + 1 share one of three fields (similarity 0.818), all others none (0.739)."""
+    base = [f"w{k}" for k in range(104)]
+    texts = []
+    for i in range(2 * pairs):
+        w = list(base)
+        w[20], w[50], w[80] = f"pair{i // 2}", f"b{i}", f"c{i}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_near_pairs_of_a_template_family_are_all_found(spark):
+    got = {r.doc_id: r.class_id for r in bagminhash.classes(docs(spark, form_letters(1000))).collect()}
+    # a pair shares no band with probability 2e-5
+    assert got == {i: i // 2 * 2 for i in range(2000)}
+
+
 # --- classifiers ------------------------------------------------------------
 
 

@@ -12,10 +12,11 @@ time by which all components have one (checked, and the time doubled if not).
 Pairs: texts with equal word sequences form a class and one goes on.  Bands of
 ``ROWS`` components make buckets.  In a bucket each text meets the one that
 shares most with the others (the sum of its buckets' sizes).  In buckets whose
-texts are then still in different components, blocks of bounded size compare
-band lists and each text also meets its nearest few of another component.
-Every met pair is verified by exact multiset overlap; classes are the connected
-components of verified links.
+other texts are then still in different components, all pairs of different
+components meet: blocks of bounded size are compared with each other, each pair
+in the bucket of the first band that it shares.  Every met pair of fitting sizes
+is verified by exact multiset overlap, so a link is lost only if no band finds
+it; classes are the connected components of verified links.
 
 Defined cases: a text of one to four words is one shingle; a text without a
 word (null, empty) is a class of its own; a null id has a null class; equal ids
@@ -35,8 +36,10 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 25, 5
 M = BANDS * ROWS
-BLOCK_MEMBERS = 64
-NEAREST = 2
+# a block's members and shingles, and the shingles that are compared at once
+BLOCK_MEMBERS = 128
+BLOCK_SHINGLES = 1 << 17
+CELL_MEMBERS = 1 << 12
 
 _a, _b, _w = K.roll(41), K.roll(42), K.roll(43)
 
@@ -187,54 +190,117 @@ def _alike(n1, n2, similar: float):
     return F.least(n1, n2) >= F.greatest(n1, n2) * similar
 
 
-def near_pairs(mixed: DataFrame) -> DataFrame:
-    """(a, b): the nearest members of another component within blocks of a bucket; nearness is the number of shared bands."""
+def block_links(ids, comp, size, side, bands, key, data, offs, similar: float = SIMILAR):
+    """(a, b) of a cell's texts with an exact overlap of at least ``similar``, but for links within what others join.
 
-    def run(batches):
-        rest = None
-
-        def of(ids, comp, size, bands):
-            out = set()
-            for at in range(0, len(ids), BLOCK_MEMBERS * 4):
-                part = slice(at, at + BLOCK_MEMBERS * 4)
-                i, c, z, x = ids[part], comp[part], size[part], bands[part]
-                shared = (x[:, None, :] == x[None, :, :]).sum(2)
-                shared[c[:, None] == c[None, :]] = 0
-                shared[np.minimum(z[:, None], z[None, :]) < SIMILAR * np.maximum(z[:, None], z[None, :])] = 0
-                top = np.argsort(-shared, axis=1, kind="stable")[:, :NEAREST]
-                for m in range(len(i)):
-                    out.update((min(i[m], i[t]), max(i[m], i[t])) for t in top[m] if shared[m, t] > 0)
-            return out
-
-        for batch in batches:
-            if rest is not None:
-                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-                rest = None
-            key = batch.column("key").to_numpy()
-            block = batch.column("block").to_numpy()
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
-            # the last group may go on in the next batch; a group's size is bounded by its block
-            rest = batch.slice(int(cut[-1])) if len(cut) else batch
-            done = batch.slice(0, int(cut[-1])) if len(cut) else batch.slice(0, 0)
-            yield from emit(done, cut[:-1] if len(cut) else cut, of)
-        if rest is not None:
-            yield from emit(rest, np.zeros(0, np.int64), of)
-
-    def emit(batch, cut, of):
-        if not batch.num_rows:
+    ``side`` is None where a block meets itself, else pairs are of both sides.
+    A pair belongs to the bucket of the first band that it shares.
+    """
+    own = int(np.flatnonzero(bands[0] == key)[0])
+    todo = np.triu(np.ones((len(ids), len(ids)), bool), 1) if side is None else ~side[:, None] & side[None, :]
+    todo &= comp[:, None] != comp[None, :]
+    todo &= np.minimum(size[:, None], size[None, :]) >= similar * np.maximum(size[:, None], size[None, :])
+    for k in range(own):
+        todo &= bands[:, k][:, None] != bands[:, k][None, :]
+    some = np.flatnonzero(todo.any(0) | todo.any(1))
+    if not len(some):
+        return []
+    text = [shingles(data[offs[i] : offs[i + 1]], np.array([0, offs[i + 1] - offs[i]]))[0] for i in some]
+    doc = np.repeat(np.arange(len(some)), [len(t) for t in text])
+    h = np.concatenate(text)
+    # the j-th copy of a shingle is a member of its own, so a sum over members is the sum of the lesser counts
+    o = np.lexsort((h, doc))
+    h, doc = h[o], doc[o]
+    at = np.arange(len(h))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    h = K.mix(h + K.mix((at - at[new][np.cumsum(new) - 1]).astype(np.uint64)))
+    _, member, count = np.unique(h, return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[member]
+    member, doc = place[member[keep]], doc[keep]
+    o = np.argsort(member, kind="stable")
+    member, doc = member[o], doc[o]
+    both = np.zeros((len(some), len(some)), np.float64)
+    for start in range(0, int(shared.sum()), CELL_MEMBERS):
+        x, y = np.searchsorted(member, [start, start + CELL_MEMBERS])
+        grid = np.zeros((len(some), CELL_MEMBERS), np.float32)
+        grid[doc[x:y], member[x:y] - start] = 1
+        both += grid @ grid.T
+    n = np.array([len(t) for t in text], float)
+    like = todo[np.ix_(some, some)] & (both / (n[:, None] + n[None, :] - both) >= similar)
+    out, root = [], {}
+
+    def find(c):
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    for i, j in zip(*np.nonzero(like)):
+        a, b = int(some[i]), int(some[j])
+        x, y = find(int(comp[a])), find(int(comp[b]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(ids[a]), int(ids[b])))
+    return out
+
+
+def cells(placed: DataFrame, lead: DataFrame) -> DataFrame:
+    """(key, lo, hi, _id, c, side): the blocks of each bucket dealt so that all members of other components meet.
+
+    A bucket's leader has met all and stays out.  Members of the bucket's
+    largest component and the rest are cut into blocks of bounded size; every
+    block of the rest meets every block.
+    """
+    rest = placed.join(lead.select("key", "lead"), "key").where("_id <> lead").drop("lead")
+    group = rest.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n").cast("long")).alias("s"))
+    group = group.groupBy("key").agg(F.max(F.struct("m", "s", "c")).alias("big"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("several")).where("several > 1")
+    cut = lambda m, s: F.greatest(F.lit(1), F.ceil(m / BLOCK_MEMBERS), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    group = group.select("key", F.col("big.c").alias("big"), cut(F.col("m") - F.col("big.m"), F.col("s") - F.col("big.s")).alias("few"), cut(F.col("big.m"), F.col("big.s")).alias("many"))
+    group = K.materialise(group, "several")
+    salt = F.xxhash64("_id", "key")
+    own = F.when(F.col("c") == F.col("big"), F.col("few") + F.pmod(salt, F.col("many"))).otherwise(F.pmod(salt, F.col("few"))).cast("int")
+    d = rest.join(group, "key").withColumn("own", own)
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("own") < F.col("few"), F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1))))
+    return d.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "_id", "c", (F.col("own") > F.col("other")).alias("side"))
+
+
+def near_links(met: DataFrame, same: DataFrame, text: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(a, b): links between the components of the texts that meet in the cells ``met``; each pair is compared by exact overlap."""
+
+    def emit(parts):
+        t = pa.Table.from_batches(parts).combine_chunks()
+        if t.num_rows < 2:
             return
-        ids, comp = batch.column("_id").to_numpy(), batch.column("c").to_numpy()
-        size = batch.column("n").to_numpy()
-        bands = batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, BANDS)
-        edges = [0, *cut.tolist(), batch.num_rows]
-        out = set()
-        for x, y in zip(edges, edges[1:]):
-            if y - x > 1:
-                out |= of(ids[x:y], comp[x:y], size[x:y], bands[x:y])
-        pairs = sorted(out)
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+        lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
+        side = None if lo == hi else np.array(t["side"].to_pylist(), bool)
+        bands = t["bands"].chunk(0).flatten().to_numpy().reshape(t.num_rows, BANDS)
+        data, offs = K.text_buffers(t["_text"])
+        found = block_links(t["_id"].to_numpy(), t["c"].to_numpy(), t["n"].to_numpy(), side, bands, t["key"][0].as_py(), data, offs, similar)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return mixed.repartition("key", "block").sortWithinPartitions("key", "block", "_id").select("key", "block", "_id", "c", "n", "bands").mapInArrow(run, "a bigint, b bigint").distinct()
+    def run(batches):
+        parts, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = [batch.column(c).to_numpy() for c in ("key", "lo", "hi")]
+            edge = np.flatnonzero(np.any([x[1:] != x[:-1] for x in cell], axis=0)) + 1
+            for x, y in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows]):
+                name = tuple(int(v[x]) for v in cell)
+                if name != last and parts:
+                    yield from emit(parts)
+                    parts = []
+                parts.append(batch.slice(x, y - x))
+                last = name
+        if parts:
+            yield from emit(parts)
+
+    full = same.select("_id", "n", "bands").join(text, "_id")
+    rows = met.join(full, "_id").select("key", "lo", "hi", "_id", "c", "n", "side", "bands", "_text")
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -258,15 +324,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     text = named.join(same.select("_id"), "_id", "left_semi").dropDuplicates(["_id"])
     links = K.materialise(verify(pairs, text, similar), "links")
     comp = K.components(links)
-    # buckets whose texts are in several components still
+    # what a bucket's leader did not join: all pairs of other components
     placed = member.join(comp.withColumnsRenamed({"id": "_id", "component": "c"}), "_id", "left").withColumn("c", F.coalesce("c", "_id"))
-    several = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    several = K.materialise(several, "several")
-    open_ = placed.join(several, "key").join(same.select("_id", "bands"), "_id")
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("_id", "key"), F.ceil(F.col("members") / BLOCK_MEMBERS)))
-    flip = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = K.materialise(near_pairs(open_).join(flip, ["a", "b"], "left_anti"), "near")
-    links = links.unionByName(verify(second, text, similar))
+    met = K.materialise(cells(placed, lead), "cells")
+    second = K.materialise(near_links(met, same, text, similar), "near")
+    links = links.unionByName(second)
     comp = K.components(links).withColumnsRenamed({"id": "rep", "component": "class_id"})
     whole = sk.select("_id", "t1", "t2").join(same.select("t1", "t2", F.col("_id").alias("rep"), "copies"), ["t1", "t2"])
     found = whole.join(comp, "rep", "left").groupBy("_id").agg(F.min(F.coalesce("class_id", "rep")).alias("class_id"), F.max("copies").alias("copies"))
