@@ -355,6 +355,20 @@ def test_fingerprints_align_shifted_recordings():
     assert not [m for m in chroma.Block([0], [a]).match(c) if m[2] < 0.2]
 
 
+def test_match_needs_no_equal_integer():
+    """Every alignment within the bounds is found, with one to eight bits of each integer flipped and at any offset."""
+    rng = np.random.default_rng(7)
+    a = [rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32) for n in (40, 25, 15)]
+    flip = np.array([sum(1 << int(k) for k in rng.choice(32, rng.integers(1, 9), replace=False)) for _ in range(30)], np.uint32)
+    r = np.concatenate([rng.integers(0, 1 << 32, 9, dtype=np.uint64).astype(np.uint32), a[0][5:35] ^ flip])
+    other = [np.concatenate([a[1][:20] ^ np.uint32(1), r]), a[2], r[:8]]
+    for x in (r, *other):
+        want = {(q, o, *chroma.align(f, x, o)) for q, f in enumerate(a) for o in range(-len(f), len(x) + 1)}
+        want = {w for w in want if w[3] >= chroma.MIN_OVERLAP and w[2] <= chroma.MAX_ERROR}
+        assert set(chroma.Block([0, 1, 2], a).match(x)) == want
+    assert (0, 4) in {m[:2] for m in chroma.Block([0, 1, 2], a).match(r)}
+
+
 def test_match_recall_against_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(0, 0.125, (30, 64))

@@ -7,9 +7,8 @@ Sixteen filters compare rectangles; each log ratio is quantised to two bits in
 Gray code, and the bits are packed into one 32-bit integer for each position.
 
 Recordings with equal integers form a class.  Queries (ids divisible by 20) are
-matched against one recording of each class, in blocks: an inverted index of the
-block's integers votes for offsets, the offsets with most votes are aligned,
-and the share of differing bits over the overlap decides.
+matched against one recording of each class, in blocks, at every offset with
+enough overlap: the share of differing bits over the overlap decides.
 
 Defined cases: a null, empty, unreadable or too short recording has an empty
 fingerprint, which is a class by itself for each recording and matches nothing;
@@ -37,7 +36,7 @@ SPAN = 12  # frames under a filter
 LOW, HIGH = 60.0, 2600.0
 MIN_OVERLAP = 16
 MAX_ERROR = 0.25
-OFFSETS = 3
+OFFSETS_AT_ONCE = 128
 QUERY_EVERY = 20
 QUERY_BLOCK = 500
 ROW_BLOCK = 4000
@@ -147,39 +146,34 @@ def fingerprints(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 
 class Block:
-    """An inverted index over the integers of a block of queries."""
+    """The bits of a block of queries as +1 and -1, zeros after a query's end, so that a product counts equal less differing bits."""
 
     def __init__(self, ids: list[int], fps: list[np.ndarray]):
-        self.ids, self.fps = ids, fps
-        size = np.array([len(f) for f in fps], np.int64)
-        self.at = np.concatenate([[0], np.cumsum(size)])
-        flat = np.concatenate(fps) if fps else np.zeros(0, np.uint32)
-        self.order = np.argsort(flat, kind="stable")
-        self.keys = flat[self.order]
-        self.owner = np.repeat(np.arange(len(fps)), size)
+        self.ids = ids
+        self.size = np.array([len(f) for f in fps], np.int64)
+        self.width = int(self.size.max(initial=0))
+        self.bits = np.zeros((len(fps), self.width * 32), np.float32)
+        for row, f in zip(self.bits, fps):
+            row[: len(f) * 32] = _signs(f)
 
     def match(self, r: np.ndarray):
-        """(query, offset, error, overlap) of the queries that the recording aligns with."""
-        lo, hi = np.searchsorted(self.keys, r, "left"), np.searchsorted(self.keys, r, "right")
-        count = hi - lo
-        if not count.sum():
+        """(query, offset, error, overlap) of every alignment of the recording with enough overlap and few enough differing bits."""
+        if min(len(r), self.width) < MIN_OVERLAP:
             return
-        pos = np.repeat(np.arange(len(r)), count)
-        first = np.concatenate([[0], np.cumsum(count)[:-1]])
-        entry = self.order[np.arange(count.sum()) - np.repeat(first, count) + np.repeat(lo, count)]
-        q = self.owner[entry]
-        offset = pos - (entry - self.at[q])
-        pair, votes = np.unique(q * (1 << 32) + (offset + (1 << 31)), return_counts=True)
-        q, offset = pair >> 32, (pair & 0xFFFFFFFF) - (1 << 31)
-        order = np.lexsort((offset, -votes, q))
-        q, offset = q[order], offset[order]
-        new = np.ones(len(q), bool)
-        new[1:] = q[1:] != q[:-1]
-        rank = np.arange(len(q)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-        for i in np.flatnonzero(rank < OFFSETS).tolist():
-            error, n = align(self.fps[q[i]], r, int(offset[i]))
-            if n >= MIN_OVERLAP and error <= MAX_ERROR:
-                yield int(q[i]), int(offset[i]), error, n
+        pad = np.zeros(self.width * 32, np.float32)
+        windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, _signs(r), pad]), self.width * 32)[::32]
+        for first in range(MIN_OVERLAP - self.width, len(r) - MIN_OVERLAP + 1, OFFSETS_AT_ONCE):
+            offset = np.arange(first, min(first + OFFSETS_AT_ONCE, len(r) - MIN_OVERLAP + 1))
+            n = np.minimum(self.size[:, None], len(r) - offset) - np.maximum(0, -offset)
+            equal = self.bits @ windows[offset[0] + self.width : offset[-1] + self.width + 1].T
+            error = (32 * n - equal) / 2 / (32 * np.maximum(n, 1))
+            for q, o in zip(*np.nonzero((n >= MIN_OVERLAP) & (error <= MAX_ERROR))):
+                yield int(q), int(offset[o]), float(error[q, o]), int(n[q, o])
+
+
+def _signs(fp: np.ndarray) -> np.ndarray:
+    """The bits of the integers as +1 and -1."""
+    return np.unpackbits(np.ascontiguousarray(fp, "<u4").view(np.uint8)).astype(np.float32) * 2 - 1
 
 
 def match(df: DataFrame, id_col: str = "vec_id", media_col: str = "media", every: int = QUERY_EVERY) -> DataFrame:
