@@ -125,6 +125,24 @@ def test_tracker_finds_a_vehicle(spark):
     assert len({p[k] for k in range(8)}) == 1
 
 
+@pytest.mark.parametrize("name", ["dual_score", "propagated_score"])
+def test_scores_reach_every_likely_event(spark, name):
+    """Each event that brute force gives a vehicle a score of 0.0005 at the first hop is a row, wherever the entry lies in its bin."""
+    from tremor.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    v, e = catalog._vehicles(spark, sf).toPandas(), catalog._sensor_events(spark, sf).toPandas()
+    first = e.pos.min() if name == "propagated_score" else np.inf  # later hops of it start from an event
+    e = e[e.pos <= first]
+    d = e.pos.to_numpy() + 2300
+    lo, hi = (v.entry.to_numpy()[:, None] + d / v[c].to_numpy()[:, None] for c in ("v_max", "v_min"))
+    score = np.exp(-0.5 * ((e.t.to_numpy() - (lo + hi) / 2) / ((hi - lo) / 2)) ** 2)
+    i, j = np.nonzero(score >= 0.0005)
+    want = set(zip(v.vehicle.to_numpy()[i].tolist(), e.event.to_numpy()[j].tolist()))
+    got = {(r.vehicle, r.event) for r in catalog.queries()[name](spark, sf).select("vehicle", "event").collect()}
+    assert want and want <= got
+
+
 def test_jpda_equals_enumeration(spark):
     tr = spark.createDataFrame([("a", 0.0, 10.0, [1]), ("b", 0.05, 10.0, [1])], "track string, a double, u double, dids array<long>")
     d = spark.createDataFrame([(1, 1, 1.02, 10.0)], "event_id long, sensor_id long, t double, x double")

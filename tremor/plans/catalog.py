@@ -610,12 +610,12 @@ def tracker_temporal(spark, sf):
 
 @query()
 def dual_score(spark, sf):
-    return out(tracking.dual_score(_vehicles(spark, sf), _sensor_events(spark, sf), reach_s=300.0), 6)
+    return out(tracking.dual_score(_vehicles(spark, sf), _sensor_events(spark, sf)), 6)
 
 
 @query()
 def propagated_score(spark, sf):
-    return out(tracking.propagated(_vehicles(spark, sf), _sensor_events(spark, sf), reach_s=300.0), 6)
+    return out(tracking.propagated(_vehicles(spark, sf), _sensor_events(spark, sf)), 6)
 
 
 # --- reshaping and sets -------------------------------------------------------
