@@ -40,6 +40,8 @@ M = BANDS * ROWS
 BLOCK_MEMBERS = 128
 BLOCK_SHINGLES = 1 << 17
 CELL_MEMBERS = 1 << 12
+# pairs of one text that are compared in a task
+PAIRS_OF_TEXT = 512
 
 _a, _b, _w = K.roll(41), K.roll(42), K.roll(43)
 
@@ -181,8 +183,13 @@ def verify(pairs: DataFrame, text: DataFrame, similar: float = SIMILAR) -> DataF
                 ok.append(overlap(mine, shingles(d[o[i] : o[i + 1]], np.array([0, o[i + 1] - o[i]]))[0]) >= similar)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one = pairs.join(text.withColumnsRenamed({"_id": "b", "_text": "tb"}), "b")
-    two = one.join(text.withColumnsRenamed({"_id": "a", "_text": "ta"}), "a")
+    # a text that many others meet goes to as many tasks as it needs
+    times = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
+    times = K.materialise(times.withColumn("parts", F.ceil(F.col("m") / PAIRS_OF_TEXT).cast("int")), "times")
+    salted = K.hot_join(pairs, times, ["a"], "m").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("m", "parts")
+    one = salted.join(text.withColumnsRenamed({"_id": "b", "_text": "tb"}), "b")
+    copies = text.withColumnsRenamed({"_id": "a", "_text": "ta"}).join(times, "a").select("a", "ta", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    two = one.join(copies, ["a", "part"])
     return two.select("a", "b", "ta", "tb").mapInArrow(run, pairs.select("a", "b").schema)
 
 

@@ -89,7 +89,7 @@ RULES = ("any", "symbols", "lines")
 
 
 def host_verdicts(m: DataFrame) -> DataFrame:
-    """(host, blocked, enforce_symbols, enforce_lines) from the failures of each host's documents."""
+    """(host, documents, blocked, enforce_symbols, enforce_lines) from the failures of each host's documents."""
     failed = {"any": F.col("base_failed") | F.col("symbols_failed") | F.col("lines_failed"), "symbols": F.col("symbols_failed"), "lines": F.col("lines_failed")}
     hosts = m.where("_host is not null").groupBy("_host").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(failed[r]).alias(f"k_{r}") for r in RULES))
     moments = []
@@ -104,13 +104,17 @@ def host_verdicts(m: DataFrame) -> DataFrame:
         between = F.greatest(F.col(f"var_{r}") - spread * F.col(f"inv_{r}"), F.lit(1e-6))
         strength = F.greatest(spread / between - 1, F.lit(1.0))
         rates[r] = (F.col(f"k_{r}") + strength * mean) / (F.col("n") + strength)
-    return out.select("_host", (rates["any"] > BLOCK).alias("blocked"), (rates["symbols"] > WATCH).alias("enforce_symbols"), (rates["lines"] > WATCH).alias("enforce_lines"))
+    return out.select("_host", "n", (rates["any"] > BLOCK).alias("blocked"), (rates["symbols"] > WATCH).alias("enforce_symbols"), (rates["lines"] > WATCH).alias("enforce_lines"))
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(id, host, counts, base_failed, kept)."""
     m = K.materialise(measures(df, id_col, text_col, host_col), "measures")
-    out = m.join(host_verdicts(m), "_host", "left")
+    known = m.where("_host is not null")
+    # a host with very many documents has its verdict broadcast
+    out = K.hot_join(known, K.materialise(host_verdicts(m), "hosts"), ["_host"], "n").drop("n")
+    none = m.where("_host is null").withColumns({c: F.lit(None).cast("boolean") for c in ("blocked", "enforce_symbols", "enforce_lines")})
+    out = out.unionByName(none)
     soft = (F.col("symbols_failed") & F.coalesce("enforce_symbols", F.lit(True))) | (F.col("lines_failed") & F.coalesce("enforce_lines", F.lit(True)))
     kept = ~F.col("base_failed") & ~F.coalesce("blocked", F.lit(False)) & ~soft
     return out.select(F.col("_id").alias(id_col), F.col("_host").alias(host_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

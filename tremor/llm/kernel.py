@@ -16,6 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+# freed blocks go back to the system, as idle workers stay alive beside the JVM
+pa.set_memory_pool(pa.system_memory_pool())
+
 BLOCK_BYTES = 1 << 19
 
 # bytes that end a word: space and \t \n \v \f \r
@@ -162,9 +165,12 @@ def table(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the setting is unset."""
+    """The folder that all executors share; one of our own only where the setting is unset and all run in this process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tremor-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -175,33 +181,67 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tremor/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tremor_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing still to be computed reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._tremor_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: a key with more rows than this, and than a thousandth of all, is joined by broadcast
+HOT_ROWS = 1000
+
+
+def hot_join(big: DataFrame, small: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``big`` inner joined with ``small``, which has one row for each key and in ``count`` how many rows of ``big`` have it.
+
+    A key with over ``HOT_ROWS`` rows and over a thousandth of all has its row of
+    ``small`` broadcast (there are under a thousand such keys), so that its rows
+    stay where they are; the others are shuffled.  ``small`` is materialised.
+    """
+    from pyspark.sql import functions as F
+
+    total = small.agg(F.sum(count)).first()[0] or 0
+    bar = max(HOT_ROWS, total // 1000)
+    hot, cold = small.where(F.col(count) > bar), small.where(F.col(count) <= bar)
+    if total <= bar or not hot.limit(1).count():
+        return big.join(small, keys)
+    return big.join(F.broadcast(hot), keys).unionByName(big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
     """(id, component): the least id reachable over the edges, for each id on an edge.
 
     Each round takes the least label among the neighbours and then the label of
     that label (pointer jumping), so a chain of n links takes about log n rounds.
-    The rounds run on Spark; the driver sees only whether a label changed.
+    The rounds run on Spark; the driver sees only whether a label changed.  Ids on
+    very many edges, and labels that very many ids have, are joined by broadcast
+    (under a thousand rows each), so no task gets all their rows.
     """
     from pyspark.sql import functions as F
 
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v and u is not null and v is not null")
     e = materialise(e.union(e.select("v", "u")).distinct(), "edges")
-    label = materialise(e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")).select(F.col("u").alias("id"), "c"), "labels")
+    label = materialise(e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("id"), "c", "n"), "labels")
     for _ in range(max_rounds):
-        near = e.join(label.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("c").alias("n"))
-        step = label.join(near.withColumnRenamed("u", "id"), "id").select("id", F.least("c", "n").alias("n"), "c")
-        jump = label.select(F.col("id").alias("n"), F.col("c").alias("j"))
-        new = step.join(jump, "n").select("id", F.least("n", "j").alias("n"), "c")
-        new = materialise(new, "labels")
-        moved = new.where("n <> c").limit(1).count()
-        label = new.select("id", F.col("n").alias("c"))
+        near = hot_join(e, label.withColumnRenamed("id", "v"), ["v"], "n").groupBy("u").agg(F.min("c").alias("m"))
+        step = materialise(label.join(near.withColumnRenamed("u", "id"), "id").select("id", F.least("c", "m").alias("m"), "c", "n"), "steps")
+        asked = step.groupBy("m").agg(F.count(F.lit(1)).alias("k"))
+        jump = materialise(label.select(F.col("id").alias("m"), F.col("c").alias("j")).join(asked, "m"), "jumps")
+        new = materialise(hot_join(step, jump, ["m"], "k").select("id", F.least("m", "j").alias("m"), "c", "n"), "labels")
+        moved = new.where("m <> c").limit(1).count()
+        forget(step, jump)
+        label = new.select("id", F.col("m").alias("c"), "n")
         if not moved:
             return label.select("id", F.col("c").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
