@@ -2,17 +2,21 @@
 
 1. A character trigram model is counted over every text of the corpus, task by
    task, and summed; its size is bounded by the alphabet, not by the corpus.
-2. Spans that look disguised (signs or digits inside a word, letters spaced
-   out, a letter three times or more) become lattices: each sign stands for
-   itself or the letters it resembles, separators may vanish, a run of a letter
-   may be one or two.  Viterbi decoding under the trigram model picks the
-   restored span; a cache holds the spans already decoded.
+2. Spans that may be disguised (any word with a sign or digit that resembles a
+   letter, or with a letter twice in a row; four or more letters or such signs
+   that stand alone, up to three separators apart) become lattices: each sign
+   stands for nothing or the letters it resembles, separators vanish, a run of a
+   letter may be one or two.  Exact Viterbi decoding of the whole span under the
+   trigram model decides; a cache holds the short spans already decoded.
 3. Words and word beginnings that mark toxic documents are selected from a
    bounded sample of labelled rows: each must explain toxic documents that
    those before it do not, by more than chance among all candidates.  The
    restored text and the plain text are matched against them by an automaton,
    and a noisy-or of their precisions is the score.
 
+Letters of all scripts make words; those beyond U+017F share one class of the
+trigram model.
+
 Defined cases: a null or empty text scores as a text without any mark; without
 labels of both classes the score is the share of label 1 (0 without labels);
 repeated rows score alike; other columns are ignored.
@@ -37,30 +41,33 @@ THRESHOLD = 0.7
 MAX_TRAIN = 6000
 MAX_TRAIN_BYTES = 65_536
 MARKS = 2000  # at most so many selected words and beginnings
+ALONE = 4  # so many letters in a row that stand alone are read as a word
 
 # fixed values: what a sign can stand for
 LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "+": "t", "|": "il", "€": "e"}
 
 ALPHABET = 256
-LETTERS = [c for c in range(0x180) if chr(c).isalpha() and chr(c) == chr(c).lower()][: ALPHABET - 1]
-_index = np.zeros(0x180, np.int64)
+LETTERS = [c for c in range(0x180) if chr(c).isalpha() and chr(c) == chr(c).lower()][: ALPHABET - 2]
+OTHER = len(LETTERS) + 1  # the class of all letters beyond
+SIZE = OTHER + 1
+CODES = 0x30000  # beyond lie no letters but some rare ideographs
+
+_letter = np.full(CODES + 1, 0x20, np.uint32)  # the lower-case letter of a code point, else a space
+for _c in range(CODES):
+    if (_l := chr(_c)).isalpha():
+        _letter[_c] = ord(_l.lower()[0])
+_class = np.zeros(CODES + 1, np.int64)
+_class[_letter != 0x20] = OTHER
 for _k, _c in enumerate(LETTERS):
-    _index[_c] = _k + 1
-for _c in range(0x180):
-    _l = chr(_c).lower()
-    if chr(_c).isalpha() and len(_l) == 1 and ord(_l) < 0x180:
-        _index[_c] = _index[ord(_l)]
-SIZE = len(LETTERS) + 1
-
-_letter = np.zeros(0x181, np.uint32)  # the lower-case letter of a code point, else a space
-_letter[:] = 0x20
-for _c in range(0x180):
-    if _index[_c]:
-        _letter[_c] = LETTERS[_index[_c] - 1]
+    _class[_letter == _c] = _k + 1
 _sign = np.zeros(0x20AD, bool)
 _sign[[ord(c) for c in LOOKALIKE]] = True
 
 
+def letters_of(cps: np.ndarray) -> np.ndarray:
+    return _letter[np.minimum(cps, CODES)]
+
+
 def codes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code points, start of each document in them): documents are kept apart by line ends."""
     text = np.insert(data, offs[1:], 0x0A)
@@ -74,7 +81,7 @@ def codes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def plain_codes(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lower-case letters with single spaces between words, where each comes from)."""
-    x = _letter[np.minimum(cps, 0x180)]
+    x = letters_of(cps)
     keep = np.ones(len(x), bool)
     keep[1:] = (x[1:] != 0x20) | (x[:-1] != 0x20)
     at = np.flatnonzero(keep)
@@ -92,17 +99,16 @@ def plain(text: str) -> str:
 
 
 def disguised(cps: np.ndarray) -> list[tuple[int, int]]:
-    """Spans (of code points) that hold a sign before a letter within a word, a letter three times, or spaced letters."""
+    """Spans (of code points) of words with a sign beside a letter or a letter twice, and of letters or signs that stand alone."""
     n = len(cps)
-    if n < 3:
+    if n < 2:
         return []
-    low = _letter[np.minimum(cps, 0x180)]
+    low = letters_of(cps)
     letter = low != 0x20
     sign = _sign[np.minimum(cps, 0x20AC)]
     white = (cps <= 0x20) | (cps == 0xA0)
     hit = np.zeros(n, bool)
-    hit[:-1] = sign[:-1] & letter[1:]
-    hit[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
+    hit[:-1] = (sign[:-1] & letter[1:]) | (letter[:-1] & sign[1:]) | (letter[:-1] & (low[:-1] == low[1:]))
     at = np.flatnonzero(hit)
     out = []
     gaps = np.flatnonzero(white)
@@ -110,22 +116,19 @@ def disguised(cps: np.ndarray) -> list[tuple[int, int]]:
         k = np.searchsorted(gaps, at)
         starts = np.where(k > 0, gaps[np.maximum(k - 1, 0)] + 1 if len(gaps) else 0, 0)
         ends = np.where(k < len(gaps), gaps[np.minimum(k, len(gaps) - 1)] if len(gaps) else n, n)
-        out = sorted(set(zip(starts.tolist(), ends.tolist())))
-    # letters that stand alone, two apart, four or more in a row, on one line
-    alone = letter.copy()
-    alone[1:] &= ~letter[:-1]
-    alone[:-1] &= ~letter[1:]
-    lines = cps == 0x0A
-    step = alone[:-2] & alone[2:] & ~lines[1:-1]
-    if step.any():
-        begin = step.copy()
-        begin[2:] &= ~step[:-2]
-        for i in np.flatnonzero(begin).tolist():
-            j = i
-            while j < n - 2 and step[j]:
-                j += 2
-            if j - i >= 6:
-                out.append((i, j + 1))
+        first = np.flatnonzero(np.diff(starts, prepend=-1))
+        out = list(zip(starts[first].tolist(), ends[first].tolist()))
+    # letters or signs that stand alone, one to three separators apart, four or more on one line
+    core = letter | sign
+    alone = core.copy()
+    alone[1:] &= ~core[:-1]
+    alone[:-1] &= ~core[1:]
+    p = np.flatnonzero(alone)
+    if len(p) >= ALONE:
+        inked, lines = np.concatenate([[0], np.cumsum(core)]), np.concatenate([[0], np.cumsum(cps == 0x0A)])
+        near = (np.diff(p) <= 4) & (inked[p[1:]] == inked[p[:-1] + 1]) & (lines[p[1:]] == lines[p[:-1]])
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], near, [False]]).astype(np.int8)))
+        out += [(int(p[i]), int(p[j]) + 1) for i, j in zip(edge[::2].tolist(), edge[1::2].tolist()) if j - i + 1 >= ALONE and letter[p[i : j + 1]].any()]
     return out
 
 
@@ -138,7 +141,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             if not len(data):
                 continue
             cps, _ = codes(data, offs)
-            x = _index[np.minimum(cps, 0x17F)] * (cps < 0x180)
+            x = _class[np.minimum(cps, CODES)]
             keep = np.ones(len(x), bool)
             keep[1:] = (x[1:] != 0) | (x[:-1] != 0)
             x = np.concatenate([[0, 0], x[keep], [0]])
@@ -175,22 +178,37 @@ class CharModel:
                 units.append([(ch, 0.0), (ch * 2, -0.5 if run > 1 else -99.0)] if run > 1 else [(ch, 0.0)])
             else:
                 letters = [(x * k, -0.7 - 0.5 * (k > 1)) for x in LOOKALIKE.get(ch, "") for k in ((1, 2) if run > 1 else (1,))]
-                units.append([("", -1.5 if letters else -0.2), *letters])
+                # a sign inside a word is hardly there for nothing, one behind it may well be
+                inside = j < len(low) and (low[j].isalpha() or low[j] in LOOKALIKE)
+                units.append([("", (-4.0 if inside else -1.0) if letters else -0.2), *letters])
             i = j
-        beam = {(0, 0): (0.0, "")}
+        # the best way to each pair of last letters, as a chain of what was written
+        logp, of = self.logp, _class
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for unit in units:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, out) in beam.items():
+            if len(best) == len(unit) == 1:  # no choice: what all ways share costs all the same
+                (((a, b), (cost, way)),), (text, _) = best.items(), unit[0]
+                for ch in text:
+                    a, b = b, int(of[min(ord(ch), CODES)])
+                best = {(a, b): (cost, (way, text) if text else way)}
+                continue
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, way) in best.items():
                 for text, extra in unit:
                     x, y, c = a, b, cost + extra
                     for ch in text:
-                        z = int(_index[ord(ch)]) if ord(ch) < 0x180 else 0
-                        c += float(self.logp[x, y, z])
+                        z = int(of[min(ord(ch), CODES)])
+                        c += float(logp[x, y, z])
                         x, y = y, z
                     if (x, y) not in new or new[x, y][0] < c:
-                        new[x, y] = (c, out + text)
-            beam = dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:64])
-        return max(((c + float(self.logp[a, b, 0]), o) for (a, b), (c, o) in beam.items()))[1]
+                        new[x, y] = (c, (way, text) if text else way)
+            best = new
+        _, way = max(((c + float(logp[a, b, 0]), w) for (a, b), (c, w) in best.items()), key=lambda x: x[0])
+        out = []
+        while way:
+            way, text = way
+            out.append(text)
+        return "".join(reversed(out))
 
 
 class Restorer:
@@ -198,14 +216,16 @@ class Restorer:
         self.chars, self.most, self.cache = chars, most, {}
 
     def __call__(self, span: str) -> str:
-        """The letters behind a span, without the signs at its end."""
-        span = span.rstrip("$!+|().,;:?\"'#%&*").lstrip("(\"'#%&*")
-        if span not in self.cache:
+        """The letters behind a span, without the marks around it that resemble no letter."""
+        span = span.strip("().,;:?\"'#%&*")
+        if len(span) > 64:
+            return self.chars.decode(span)
+        out = self.cache.get(span)
+        if out is None:
             if len(self.cache) >= self.most:
                 self.cache.clear()
-            # a long span is decoded in bounded pieces, none left out
-            self.cache[span] = "".join(self.chars.decode(span[a : a + 64]) for a in range(0, len(span), 64))
-        return self.cache[span]
+            out = self.cache[span] = self.chars.decode(span)
+        return out
 
 
 def restored(cps: np.ndarray, restore: Restorer) -> list[tuple[int, str]]:
@@ -302,7 +322,7 @@ class Model:
         full = []
         for t in texts:
             cps = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-            full.append(plain(t) + "".join(plain(r) for _, r in restored(cps, restore)))
+            full.append(plain(t) + "".join(f" {r} " for _, r in restored(cps, restore)))
         self.marks = Marks(full, y)
 
     def scorer(self):
@@ -314,7 +334,7 @@ class Model:
             auto.add_word(f, f)
         if self.marks.weight:
             auto.make_automaton()
-        restore = Restorer(self.chars)
+        restore, seen = Restorer(self.chars), {}
         none = self.marks.score(set())
 
         def score(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -332,9 +352,18 @@ class Model:
                 begin = at[np.clip(np.array([e - len(f) + 1 for e, f in hits]), 0, len(at) - 1)]
                 for d, (_, f) in zip((np.searchsorted(first, begin, side="right") - 1).tolist(), hits):
                     found[d].add(f)
-            for start, letters in restored(cps, restore):
-                d = int(np.searchsorted(first, start, side="right")) - 1
-                found[d].update(f for _, f in auto.iter(plain(letters)))
+            text = as_text(cps)
+            for a, b in disguised(cps):
+                span = text[a:b]
+                marks = seen.get(span)
+                if marks is None:
+                    marks = tuple({f for _, f in auto.iter(f" {restore(span)} ")})
+                    if len(span) <= 64:
+                        if len(seen) >= 4 * restore.most:
+                            seen.clear()
+                        seen[span] = marks
+                if marks:
+                    found[int(np.searchsorted(first, a, side="right")) - 1].update(marks)
             for d, marks in found.items():
                 out[min(d, n - 1)] = self.marks.score(marks)
             return out
