@@ -2,14 +2,16 @@
 
 Each line is hashed; a rolling hash over the last ``SPAN`` line hashes closes a
 chunk where it is divisible by ``DIVISOR`` (or after ``MOST`` lines), so chunk
-borders depend on content and survive shifts.  Chunks of two lines or more are
+borders depend on content and survive shifts.  A border right after another one
+is skipped, and so is one that would leave a text's first or last line alone, so
+all chunks of a text of two lines or more have two lines at least.  Chunks are
 counted over the corpus by a 128-bit hash.  Of a repeated chunk the occurrence
 with the least (id, position) stays and the others go, after the bytes of all
 its occurrences have been compared: a hash shared by different bytes removes
 nothing.
 
-Defined cases: a null text stays null and an empty one empty; a line that stands
-alone in its chunk is never removed; repeated rows (the same id twice) count as
+Defined cases: a null text stays null and an empty one empty; a text of one line
+loses nothing; a null id is replaced by a hash of the text; repeated rows (the same id twice) count as
 occurrences of the same document and are cut alike; where rows of one id have
 different texts, a row loses a chunk only if it has it at that place; all
 columns are carried, clashing names included, as the work happens on renamed
@@ -49,12 +51,24 @@ def chunk_spans(data: np.ndarray, offs: np.ndarray):
         roll += np.where(same, K.mix(shifted + np.uint64(k)), np.uint64(0))
     last = np.ones(len(doc), bool)
     last[:-1] = doc[1:] != doc[:-1]
-    close = (K.mix(roll) % np.uint64(DIVISOR) == 0) | last
-    # within a run without a border, one after each MOST lines
+    n = len(doc)
+    lead, last = np.ones(n, bool), np.ones(n, bool)
+    lead[1:] = doc[1:] != doc[:-1]
+    last[:-1] = lead[1:]
+    border = (K.mix(roll) % np.uint64(DIVISOR) == 0) & ~lead
+    # of adjacent borders every other one stays, from the first of their run on
+    at = np.arange(n)
+    begin = border.copy()
+    begin[1:] &= ~border[:-1]
+    border &= (at - np.maximum.accumulate(np.where(begin, at, 0))) % 2 == 0
+    border[:-1] &= ~last[1:]  # no last line of its own
+    close = border | last
+    # in a run without a border, one after each MOST lines that leaves two lines
     ends = np.flatnonzero(close)
     first = np.concatenate([[0], ends[:-1] + 1])
-    place = np.arange(len(doc)) - np.repeat(first, ends - first + 1)
-    close |= place % MOST == MOST - 1
+    size = np.repeat(ends - first + 1, ends - first + 1)
+    place = at - np.repeat(first, ends - first + 1)
+    close |= (place % MOST == MOST - 1) & (place < size - 2)
     ends = np.flatnonzero(close)
     first = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
     cs, cd = s[first], doc[first]
@@ -83,7 +97,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("_id").take(pa.array(doc)), pa.array(k.astype(np.int32)), pa.array(h1), pa.array(h2)], ["_id", "k", "h1", "h2"])
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.select("_id", "_text").where("_id is not null and _text is not null").mapInArrow(run, f"_id {kind}, k int, h1 bigint, h2 bigint")
+    return docs.select("_id", "_text").where("_text is not null").mapInArrow(run, f"_id {kind}, k int, h1 bigint, h2 bigint")
 
 
 def _wanted(ks, h1s, h1: np.ndarray) -> list[int]:
@@ -114,8 +128,10 @@ def _bytes_of(joined: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """(_id, ks, hs): the places and hashes of the chunks that go, one row for each id that loses any."""
     found = K.materialise(chunks(docs).distinct(), "chunks")
-    again = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "k")).alias("first")).where("n > 1").drop("n")
-    member = K.materialise(found.join(again, ["h1", "h2"]).select("_id", "k", "h1", "h2", "first"), "members")
+    again = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "k")).alias("first")).where("n > 1")
+    again = K.materialise(again, "repeated")
+    member = K.materialise(K.hot_join(found, again, ["h1", "h2"], "n").select("_id", "k", "h1", "h2", "first"), "members")
+    K.forget(found)
     # every occurrence's bytes are compared: equal ones are combined in the task that reads them
     bodies = _bytes_of(docs.select("_id", "_text").join(_places(member).hint("shuffle_hash"), "_id"))
     mixed = bodies.groupBy("h1", "h2", "body").agg(F.count(F.lit(1)).alias("n")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1")
@@ -131,12 +147,12 @@ def _places(rows: DataFrame) -> DataFrame:
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the text cut, and n_chunks_removed, n_lines_removed beside its columns under names that clash with none."""
     names = df.columns
-    src = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    src = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.coalesce(F.col(id_col), F.xxhash64(F.col(text_col)).cast(df.schema[id_col].dataType)).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     gone = removals(src)
     joined = src.join(gone.hint("shuffle_hash"), "_id", "left")
 
     def run(batches):
-        for batch in batches:
+        for batch, _, _ in K.blocks(batches, "_text"):
             at = batch.schema.get_field_index("_text")
             out, n_chunks, n_lines = batch.column(at).to_pylist(), [], []
             for i, (ks, hs) in enumerate(zip(batch.column("ks").to_pylist(), batch.column("hs").to_pylist(), strict=True)):
