@@ -235,7 +235,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores at least the threshold."""
+    """The rows of ``docs``, all columns, whose text scores at least the threshold; all rows if there were not labels of both classes to learn from."""
+    if model.net is None:
+        return docs
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches):
