@@ -19,6 +19,41 @@ def safe_float(c: Column, default: float) -> Column:
     return F.coalesce(number(c), F.lit(default))
 
 
+def digits(c: Column) -> Column:
+    """The number of a text of digits, else -1."""
+    return F.when(c.rlike("^[0-9]+$"), c.try_cast("long")).otherwise(F.lit(-1))
+
+
+def clock_text(c: Column) -> Column:
+    """The first time such as 8:15 in a text, or null."""
+    return F.nullif(F.regexp_extract(c, r"(\d{1,2}:\d{2})", 1), F.lit(""))
+
+
+def date_text(c: Column) -> Column:
+    """The first date such as 01/02/2025 in a text, or null."""
+    return F.nullif(F.regexp_extract(c, r"(\d{2}/\d{2}/\d{4})", 1), F.lit(""))
+
+
+def clock_minutes(c: Column) -> Column:
+    """Minutes of a text such as 8:15; null if it isn't one."""
+    at = lambda k: F.split_part(c, F.lit(":"), F.lit(k)).try_cast("int")
+    return F.when(c.contains(":"), at(1) * 60 + at(2))
+
+
+def pair_label(a: Column, b: Column) -> Column:
+    return F.concat_ws(" vs ", a, b)
+
+
+def channel(axes: Column, axis: Column) -> Column:
+    """The channel of an axis from a struct of the three; null for an unknown axis."""
+    return F.when(axis == "vertical", axes["vertical"]).when(axis == "flexural", axes["flexural"]).when(axis == "torsional", axes["torsional"])
+
+
+def location(span: Column, dist: Column, side: Column) -> Column:
+    """The key of a place on the bridge."""
+    return F.struct(span.alias("span"), F.round(dist, 6).alias("dist"), side.alias("side"))
+
+
 def parse_time(c: Column, *formats: str) -> Column:
     """The first format that fits, in order; null if none."""
     return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in formats))
@@ -26,7 +61,7 @@ def parse_time(c: Column, *formats: str) -> Column:
 
 def event_time(c: Column) -> Column:
     """ISO first, then day and month swapped, then day/month/year."""
-    return parse_time(c, "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-dd-MM HH:mm:ss", "dd/MM/yyyy HH:mm[:ss]")
+    return parse_time(c, "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-dd-MM HH:mm:ss[.SSSSSS]", "dd/MM/yyyy HH:mm[:ss]")
 
 
 def interval_label(c: Column) -> Column:

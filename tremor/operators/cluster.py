@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -29,13 +31,13 @@ def pca(df: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
 def silhouette(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """(silhouette) with squared distances, from each cluster's size, sums and sums of squares: one pass, no pairs."""
     sq = sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0))
-    g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.sum(sq).alias("q"), *(F.sum(c).alias(f"_s_{c}") for c in columns))
+    g = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.sum(sq).alias("_sq"), *(F.sum(c).alias(f"_s_{c}") for c in columns))
     g = g.withColumnRenamed(label, "_other")
     # clusters are few: one row for each
     d = df.withColumn("_r", F.monotonically_increasing_id()).withColumn("_q", sq).join(F.broadcast(g))
-    total = F.col("n") * F.col("_q") + F.col("q") - 2 * sum((F.col(c) * F.col(f"_s_{c}") for c in columns), F.lit(0.0))
+    total = F.col("_n") * F.col("_q") + F.col("_sq") - 2 * sum((F.col(c) * F.col(f"_s_{c}") for c in columns), F.lit(0.0))
     own = F.col("_other") == F.col(label)
-    d = d.groupBy("_r").agg(F.max(F.when(own, F.when(F.col("n") > 1, total / F.greatest(F.col("n") - 1, F.lit(1))))).alias("a"), F.min(F.when(~own, total / F.col("n"))).alias("b"))
+    d = d.groupBy("_r").agg(F.max(F.when(own, F.when(F.col("_n") > 1, total / F.greatest(F.col("_n") - 1, F.lit(1))))).alias("a"), F.min(F.when(~own, total / F.col("_n"))).alias("b"))
     return d.agg(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12)))).alias("silhouette"))
 
 
@@ -55,12 +57,57 @@ def indices(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     return db.join(F.broadcast(ch))
 
 
-def kmeans(df: DataFrame, columns: list[str], most: int = 10, seed: int = 42) -> tuple[DataFrame, list[tuple[int, float, float]]]:
-    """(rows with ``cluster``, curve of (k, inertia, silhouette)); the k of the best silhouette from 2 up."""
+def euclidean_silhouette(df: DataFrame, columns: list[str], label: str, block: int = 512) -> DataFrame:
+    """(silhouette) with Euclidean distances.
+
+    Mean distances to a cluster's rows have no closed form, so blocks of rows meet
+    blocks of rows and each pair of blocks is one vectorised product: the work
+    grows with the square of the rows, as in the reference, but no task holds
+    more than two blocks, and only sums by row and cluster are shuffled.
+    """
+    import numpy as np
+    import pandas as pd
+
+    n = df.count()
+    blocks = max(1, -(-n // block))
+    d = df.select(F.col(label).cast("long").alias("c"), F.array(*(F.col(x).cast("double") for x in columns)).alias("v")).withColumn("r", F.monotonically_increasing_id())
+    d = d.withColumn("b", F.pmod(F.xxhash64("r"), F.lit(blocks)))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left = d.withColumn("o", other).select(F.col("b").alias("x"), F.col("o").alias("y"), "r", "c", "v")
+    right = d.withColumn("o", other).select(F.col("o").alias("x"), F.col("b").alias("y"), "r", "c", "v")
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"r": [], "c": [], "o": [], "s": []}).astype({"r": "int64", "c": "int64", "o": "int64", "s": "float64"})
+        p, q = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy())
+        far = np.sqrt(np.maximum(((p[:, None, :] - q[None, :, :]) ** 2).sum(2), 0))
+        names, at = np.unique(b.c.to_numpy(), return_inverse=True)
+        s = far @ np.eye(len(names))[at]
+        return pd.DataFrame({"r": np.repeat(a.r.to_numpy(), len(names)), "c": np.repeat(a.c.to_numpy(), len(names)), "o": np.tile(names, len(a)), "s": s.ravel()})
+
+    far = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(run, "r bigint, c bigint, o bigint, s double")
+    size = d.groupBy(F.col("c").alias("o")).agg(F.count(F.lit(1)).alias("n"))  # clusters are few
+    far = far.groupBy("r", "c", "o").agg(F.sum("s").alias("s")).join(F.broadcast(size), "o")
+    own = F.col("o") == F.col("c")
+    g = far.groupBy("r").agg(F.max(F.when(own & (F.col("n") > 1), F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))
+    return g.agg(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12)))).alias("silhouette"))
+
+
+def kmeans(df: DataFrame, columns: list[str], most: int = 10, seed: int = 42, starts: int = 10) -> tuple[DataFrame, list[tuple[int, float, float]]]:
+    """(rows with ``cluster``, curve of (k, inertia, silhouette)); the k of the best silhouette from 2 up.
+
+    For each k the best of ``starts`` seeds by inertia counts.  The choice of k
+    takes squared distances, which need one pass; ``euclidean_silhouette`` gives
+    the other figure for a clustering of moderate size.
+    """
     d = VectorAssembler(inputCols=columns, outputCol="_v").transform(df).persist()
     n, curve, best = d.count(), [], None
-    for k in range(2, min(most, n - 1) + 1):
-        model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster", initSteps=5).fit(d)
+    ks = range(2, min(most, n - 1) + 1)
+    fit = lambda ks: KMeans(k=ks[0], seed=ks[1], featuresCol="_v", predictionCol="cluster").fit(d)
+    with ThreadPoolExecutor(8) as pool:  # small jobs side by side
+        models = list(pool.map(fit, [(k, seed + s) for k in ks for s in range(starts)]))
+    for at, k in enumerate(ks):
+        model = min(models[at * starts : (at + 1) * starts], key=lambda m: m.summary.trainingCost)
         out = model.transform(d).drop("_v")
         score = silhouette(out, columns, "cluster").first()[0]
         curve.append((k, float(model.summary.trainingCost), float(score)))
@@ -69,6 +116,12 @@ def kmeans(df: DataFrame, columns: list[str], most: int = 10, seed: int = 42) ->
     return (best[1] if best else df.withColumn("cluster", F.lit(0))), curve
 
 
+def distribution(df: DataFrame, label: str = "cluster") -> DataFrame:
+    """(label, n, pct) of each cluster."""
+    g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return g.join(F.broadcast(g.agg(F.sum("n").alias("_t")))).select(label, "n", (F.col("n") * 100.0 / F.col("_t")).alias("pct"))
+
+
 def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, least: int) -> DataFrame:
     """(key, cluster): -1 is noise; clusters are named by their least core key, a border row goes to its least core's.
 

@@ -14,10 +14,13 @@ from tremor.operators import windows as X
 def template_slide(templates: DataFrame, signal: DataFrame, keys: list[str], max_lag: int) -> DataFrame:
     """(keys, lag, score): cosine similarity of a template (k, t, start) at each lag of a signal (i, value).
 
-    Lags go from 0 to ``max_lag`` inclusive and stop where the signal ends.
+    Lags go from 0 up to, but not including, ``max_lag``, and the last place that
+    the template would fit into is not tried either.
     """
     n = templates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    t = templates.join(n, keys).withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag))))
+    size = signal.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    t = templates.join(n, keys).join(size, keys).withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag - 1))))
+    t = t.where(F.col("start") + F.col("lag") < F.col("_size") - F.col("_n"))
     t = t.withColumn("i", F.col("start") + F.col("lag") + F.col("k"))
     g = t.join(signal, [*keys, "i"]).groupBy(*keys, "lag", "_n").agg(F.sum(F.col("t") * F.col("value")).alias("ab"), F.sum(F.col("t") * F.col("t")).alias("aa"), F.sum(F.col("value") * F.col("value")).alias("bb"), F.count(F.lit(1)).alias("_c")).where("_c = _n")
     norm = F.sqrt(F.col("aa")) * F.sqrt(F.col("bb"))

@@ -68,28 +68,31 @@ def _ln(x, mu, s):
 
 
 def extend(seed_rows: DataFrame, d: DataFrame, reach_s: float = 600.0, steps: bool = False) -> DataFrame:
-    """(track, u, a, score, dids): each seed followed over all positions.
+    """(track, u, a, score, dids): each seed followed over all positions, those without a detection in reach too.
 
     A seed gets the detections within reach of its line by an equi-join on time
-    bins; seeds of one set of detections are followed once.  With ``steps``, a
+    bins, and a row for each of the bridge's few positions; seeds of one set of detections are followed once.  With ``steps``, a
     row for each position that the track visits.
     """
     s = X.first_rows(seed_rows.withColumn("_set", F.concat_ws(",", "dids")), ["_set"], "pk", "tk", "cluster").drop("_set")
     s = s.withColumn("track", F.concat_ws("/", "k", "cluster"))
     b = s.withColumn("_b", F.explode(F.sequence(F.floor((F.col("t0") - reach_s) / reach_s), F.floor((F.col("t0") + 2 * reach_s) / reach_s))))
-    near = b.join(d.select("event_id", "t", "x", "p", F.floor(F.col("t") / reach_s).alias("_b")), "_b")
+    near = b.join(d.select("event_id", "t", "x", "p", F.floor(F.col("t") / reach_s).alias("_b")), "_b").withColumn("seen", F.lit(True))
+    every = s.join(F.broadcast(d.select("x", "p").distinct())).withColumns({"event_id": F.lit(-1).cast(dict(d.dtypes)["event_id"]), "t": F.lit(0.0), "seen": F.lit(False)})
+    near = near.drop("_b").unionByName(every)
     schema = "track string, step bigint, x double, t_hat double, hit bigint, score double" if steps else "track string, u double, a double, score double, dids array<bigint>"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf.iloc[0]
         own = set(one.dids.tolist())
-        have = pdf[pdf.event_id.isin(own)].drop_duplicates("event_id").sort_values(["x", "t"])
+        have = pdf[pdf.seen & pdf.event_id.isin(own)].drop_duplicates("event_id").sort_values(["x", "t"])
         xs, ts, ids = have.x.tolist(), have.t.tolist(), have.event_id.tolist()
         a, u = _line(np.array(xs), np.array(ts)) or (one.t0, one.u0)
         score, trace = _ln(u, V_MEAN, V_SIGMA), []
         used = set(xs)
-        for n, (x, rows) in enumerate((x, r) for x, r in pdf.drop_duplicates("event_id").groupby("x") if x not in used):
+        for n, (x, rows) in enumerate((x, r) for x, r in pdf.groupby("x") if x not in used):
             t_hat = a + x / u
+            rows = rows[rows.seen].drop_duplicates("event_id")
             r = rows[(rows.t - t_hat).abs() <= K_GATE * SIGMA_T].sort_values("t")
             if r.empty:
                 score += math.log(1 - P_DETECT)
@@ -167,11 +170,11 @@ def hard(p: DataFrame) -> DataFrame:
 # --- weigh-in-motion records against sensor events ---------------------------
 
 
-def wim_gaussian(vehicles: DataFrame, events: DataFrame, gate_m: float = -2300.0) -> DataFrame:
+def wim_gaussian(vehicles: DataFrame, events: DataFrame, gate_m: float = -2300.0, sigmas: float = 9.0) -> DataFrame:
     """(sensor, event, vehicle, score): arrival windows from the speed band, scored at each event of each sensor.
 
-    An equi-join on time bins keeps pairs within five deviations apart (a score
-    under 4e-6 is taken as none).  Vehicles are (vehicle, entry, v_min, v_max),
+    An equi-join on time bins keeps the pairs within ``sigmas`` deviations; with 9,
+    what goes scores under 3e-18.  Vehicles are (vehicle, entry, v_min, v_max),
     events (sensor, event, t, pos).
     """
     places = events.select("sensor", "pos").distinct()
@@ -179,9 +182,9 @@ def wim_gaussian(vehicles: DataFrame, events: DataFrame, gate_m: float = -2300.0
     a, b = F.try_divide(d, F.col("v_max")), F.try_divide(d, F.col("v_min"))
     v = vehicles.where("v_max > 0 and v_min > 0").join(F.broadcast(places))  # a row for each of the bridge's sensors
     v = v.withColumns({"mu": F.col("entry") + (a + b) / 2, "sigma": F.greatest(F.abs(b - a) / 2, F.lit(1e-3))})
-    v = v.withColumn("_b", F.explode(F.sequence(F.floor((F.col("mu") - 5 * F.col("sigma")) / 60), F.floor((F.col("mu") + 5 * F.col("sigma")) / 60))))
+    v = v.withColumn("_b", F.explode(F.sequence(F.floor((F.col("mu") - sigmas * F.col("sigma")) / 60), F.floor((F.col("mu") + sigmas * F.col("sigma")) / 60))))
     e = events.withColumn("_b", F.floor(F.col("t") / 60))
-    j = v.drop("pos").join(e, ["sensor", "_b"]).where(F.abs(F.col("t") - F.col("mu")) <= 5 * F.col("sigma"))
+    j = v.drop("pos").join(e, ["sensor", "_b"]).where(F.abs(F.col("t") - F.col("mu")) <= sigmas * F.col("sigma"))
     return j.select("sensor", "event", "vehicle", S.gaussian(F.col("t"), F.col("mu"), F.col("sigma")).alias("score"))
 
 
@@ -191,9 +194,15 @@ def ownership(scores: DataFrame) -> DataFrame:
 
 
 def _per_vehicle(vehicles: DataFrame, events: DataFrame, run, schema: str, reach_s: float) -> DataFrame:
-    """Each vehicle with the events that it can meet, by time bins."""
+    """Each vehicle with the events from its entry to ``reach_s`` after it, and a row without an event for each sensor.
+
+    Time bins only make the join; the condition is the distance in time.
+    """
     b = vehicles.withColumn("_b", F.explode(F.sequence(F.floor(F.col("entry") / reach_s), F.floor(F.col("entry") / reach_s) + 1)))
-    j = b.join(events.withColumn("_b", F.floor(F.col("t") / reach_s)), "_b").drop("_b")
+    j = b.join(events.withColumn("_b", F.floor(F.col("t") / reach_s)), "_b").drop("_b").where(F.col("t").between(F.col("entry"), F.col("entry") + reach_s))
+    kinds = dict(events.dtypes)
+    places = vehicles.join(F.broadcast(events.select("sensor", "pos").distinct()))  # the bridge's sensors are few
+    j = j.withColumn("seen", F.lit(True)).unionByName(places.withColumns({"event": F.lit(-1).cast(kinds["event"]), "t": F.lit(0.0), "seen": F.lit(False)}))
     # vehicles are independent: a bucket of some dozens shares one call
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.concat([run(one) for _, one in pdf.groupby("vehicle")])
@@ -220,7 +229,7 @@ def temporal_tracker(vehicles: DataFrame, events: DataFrame, reach_s: float = 18
         x, t, v, score, n, status, steps = start, one.entry, one.v_est, 1.0, 0, "COMPLETED", 0
         for (pos, _), rows in pdf.groupby(["pos", "sensor"]):
             steps += 1
-            rows = rows.sort_values(["t", "event"])
+            rows = rows[rows.seen].sort_values(["t", "event"])
             p = np.array([_p(e, t, pos - x, v, one.v_min, one.v_max) for e in rows.t])
             ok = p >= 0.10
             if ok.any():
@@ -244,12 +253,19 @@ def temporal_tracker(vehicles: DataFrame, events: DataFrame, reach_s: float = 18
 
 
 def propagated(vehicles: DataFrame, events: DataFrame, gate_m: float = -2300.0, reach_s: float = 1800.0) -> DataFrame:
-    """(vehicle, sensor, event, score, cumulative): the anchor moves to the best event; its score is the next prior."""
+    """(vehicle, sensor, event, score, cumulative): the anchor moves to the best event; its score is the next prior.
+
+    A sensor without events in reach has a row without one.
+    """
 
     def run(pdf):
         one, out = pdf.iloc[0], []
         x, t, prior = gate_m, one.entry, 1.0
         for (pos, sensor), rows in pdf.groupby(["pos", "sensor"]):
+            rows = rows[rows.seen].sort_values(["t", "event"])
+            if rows.empty:
+                out.append((one.vehicle, sensor, None, None, None))
+                continue
             d = pos - x
             a, b = sorted((t + d / max(one.v_max, 1e-3), t + d / max(one.v_min, 1e-3)))
             mu, s = (a + b) / 2, max((b - a) / 2, 2.0)
@@ -258,7 +274,7 @@ def propagated(vehicles: DataFrame, events: DataFrame, gate_m: float = -2300.0,
             out += [(one.vehicle, sensor, int(e), float(q), float(prior * p[best])) for e, q in zip(rows.event, p)]
             if p[best] >= 0.0005:
                 x, t, prior = pos, float(rows.t.iloc[best]), float(p[best])
-        return pd.DataFrame(out, columns=["vehicle", "sensor", "event", "score", "cumulative"])
+        return pd.DataFrame(out, columns=["vehicle", "sensor", "event", "score", "cumulative"]).astype({"event": "Int64"})
 
     return _per_vehicle(vehicles, events, run, "vehicle bigint, sensor string, event bigint, score double, cumulative double", reach_s)
 
@@ -272,7 +288,10 @@ def dual_score(vehicles: DataFrame, events: DataFrame, gate_m: float = -2300.0,
         prior = None
         first = True
         for (pos, sensor), rows in pdf.groupby(["pos", "sensor"]):
-            rows = rows.sort_values(["t", "event"])
+            rows = rows[rows.seen].sort_values(["t", "event"])
+            if rows.empty:  # without events at the first sensor the chain never begins
+                first = False
+                continue
             t = rows.t.to_numpy()
             d = pos - gate_m
             a, b = sorted((one.entry + d / max(one.v_max, 1e-3), one.entry + d / max(one.v_min, 1e-3)))

@@ -12,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tremor.functions import scalars as S
+from tremor.operators import windows as X
 
 HOURLY = r"M001_(\d{4}-\d{2}-\d{2})_(\d{2})-00-00_.*_int-(\d+)_th\.csv$"
 
@@ -61,13 +62,76 @@ def read_peaks(df: DataFrame) -> DataFrame:
     cols = [c for c in df.columns if c.endswith("_dominant_peaks")]
     d = df.withColumn("_day", F.to_date(S.event_time(F.col("original_timestamp")))).unpivot(["vehicle_id", "_day"], cols, "sensor", "cell")
     d = d.select("vehicle_id", "_day", F.regexp_replace("sensor", "_dominant_peaks$", "").alias("sensor"), F.explode(S.peak_cell(F.col("cell"))).alias("p"))
-    ts = F.timestamp_add("SECOND", (F.hour("p.ts") * 3600 + F.minute("p.ts") * 60 + F.second("p.ts")), F.col("_day").cast("timestamp_ntz"))
+    day = F.col("_day").cast("timestamp_ntz")
+    ts = F.timestamp_add("MICROSECOND", F.timestamp_diff("MICROSECOND", F.date_trunc("day", "p.ts").cast("timestamp_ntz"), F.col("p.ts")), day)
     return d.select("vehicle_id", "sensor", ts.alias("ts"), F.col("p.amp").alias("amp"))
 
 
+def sensor_events(peaks: DataFrame) -> DataFrame:
+    """One event for each sensor and time: the first of equals, by vehicle."""
+    return X.first_rows(peaks, ["sensor", "ts"], "vehicle_id", F.desc("amp"))
+
+
+def wim_entries(df: DataFrame, time: str = "StartTimeStr", tolerance: float = 10.0, anchor: float = 0.0, gate_rows: str | None = None) -> DataFrame:
+    """(vehicle, entry_ts, v_est, v_min, v_max, anchor) of weigh-in-motion rows; rows without a speed or time go.
+
+    ``vehicle`` is the row's number in the file, rows that go counted; a table
+    without such a column (``gate_rows``) is numbered in the order it is read.
+    ``tolerance`` is in km/h, ``anchor`` the position of the gate in metres.
+    """
+    row = F.col(gate_rows) if gate_rows else None
+    d = df if gate_rows else numbered(df, "_row")
+    v = F.col("Velocity").cast("double") / 3.6
+    ts = F.col(time) if dict(df.dtypes)[time].startswith("timestamp") else S.event_time(F.col(time))
+    d = d.select((row if gate_rows else F.col("_row")).cast("long").alias("vehicle"), ts.alias("entry_ts"), v.alias("v_est"), (v - tolerance / 3.6).alias("v_min"), (v + tolerance / 3.6).alias("v_max"), F.lit(anchor).alias("anchor"))
+    return d.where("v_est is not null and entry_ts is not null")
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Rows numbered from 0 in the order they are read: an id within each partition and the counts of those before it."""
+    d = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    part = d.groupBy("_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(X.by([], "_part").rowsBetween(X.W.unboundedPreceding, -1)), F.lit(0))
+    part = part.withColumn("_before", before).drop("_n")  # a row for each partition
+    return d.join(F.broadcast(part), "_part").withColumn(name, F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_part", "_first", "_before")
+
+
+def read_positions(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
+    """(row, channel, span, dist, sensor_id, side, axis, extra) of a bridge table.
+
+    A byte order mark goes, ``columns`` renames, a number that isn't one is -1
+    for ids and null for distances, and unknown columns become the map ``extra``.
+    """
+    names = {"vertical": "channel", "SPAN": "span", "DIST_M": "dist", "sensor_id": "sensor_id", "side": "side", "axis": "axis"} | (columns or {})
+    df = spark.read.option("header", True).csv(path)
+    df = df.toDF(*(c.lstrip("\ufeff").strip() for c in df.columns))
+    known = {new: F.col(f"`{old}`") for old, new in names.items() if old in df.columns}
+    get = lambda c: F.trim(known[c]) if c in known else F.lit(None).cast("string")
+    rest = [c for c in df.columns if c not in names]
+    extra = F.create_map(*(x for c in rest for x in (F.lit(c), F.col(f"`{c}`")))) if rest else F.create_map().cast("map<string,string>")
+    d = numbered(df, "_row")
+    return d.select(F.col("_row").alias("row"), get("channel").alias("channel"), get("span").alias("span"), S.number(get("dist")).alias("dist"), S.digits(get("sensor_id")).alias("sensor_id"), get("side").alias("side"), get("axis").alias("axis"), extra.alias("extra"))
+
+
+def read_sensor_map(spark: SparkSession, path: str) -> DataFrame:
+    """(sensor_id, vertical, flexural, torsional)."""
+    return spark.read.option("header", True).csv(path).select(F.col("sensor_id").cast("int").alias("sensor_id"), "vertical", "flexural", "torsional")
+
+
+def write_report(lines: DataFrame, path: str, append: bool = False) -> None:
+    """A text sink for the single string column of a report."""
+    lines.write.mode("append" if append else "overwrite").text(path)
+
+
+def peak_sensors(columns: list[str], suffix: str = "_dominant_peaks", wanted: list[str] | None = None) -> list[str]:
+    """The sensors of a peak table by its columns' endings, in order, those of ``wanted`` only if given."""
+    own = [c.removesuffix(suffix) for c in columns if c.endswith(suffix)]
+    return [c for c in own if wanted is None or c in wanted]
+
+
 def write_peaks(points: DataFrame, sensors: list[str]) -> DataFrame:
     """The wide peak table of (vehicle_id, sensor, ts, amp)."""
-    cell = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "amp"))), lambda p: F.concat_ws("|", F.date_format(p["ts"], "yyyy-MM-dd HH:mm:ss"), p["amp"])), ";")
+    cell = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "amp"))), lambda p: F.concat_ws("|", F.date_format(p["ts"], "yyyy-MM-dd HH:mm:ss.SSSSSS"), p["amp"])), ";")
     w = points.groupBy("vehicle_id").pivot("sensor", sensors).agg(cell)
     return w.select("vehicle_id", *(F.col(f"`{s}`").alias(f"{s}_dominant_peaks") for s in sensors))
 
