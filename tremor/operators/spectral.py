@@ -109,3 +109,48 @@ def dft_power(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     angle = F.lit(2 * np.pi / n) * ((F.col("i") * F.col("bin")) % n)
     g = d.groupBy(*keys, "bin").agg(F.sum(F.col("value") * F.cos(angle)).alias("re"), F.sum(F.col("value") * F.sin(angle)).alias("im"))
     return g.select(*keys, "bin", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
+
+
+def fft_magnitude(df: DataFrame, keys: list[str], fs: float = 100.0) -> DataFrame:
+    """(keys, bin, freq, magnitude) of whole signals of any length."""
+
+    def rows(x):
+        m = np.abs(np.fft.rfft(x)) if len(x) else x
+        return pd.DataFrame({"bin": np.arange(len(m)), "freq": np.fft.rfftfreq(len(x), 1 / fs) if len(x) else m, "magnitude": m})
+
+    return _per_signal(df, keys, rows, "bin bigint, freq double, magnitude double")
+
+
+def round_trip(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i, value, back): each signal, and what its transform and back gives."""
+    return _per_signal(df, keys, lambda x: pd.DataFrame({"i": np.arange(len(x)), "value": x, "back": np.fft.ifft(np.fft.fft(x)).real if len(x) else x}), "i bigint, value double, back double")
+
+
+def welch_grid(df: DataFrame, keys: list[str], windows: tuple[str, ...] = ("hann", "hamming", "blackman", "flattop", "bartlett"), sizes: list[int] = (256, 512, 1024), fs: float = 100.0, top: float = 20.0) -> DataFrame:
+    """(keys, window, size, freq, power) for each window and segment length; a signal is read once."""
+
+    def rows(x):
+        parts = []
+        for w in windows:
+            for n in sizes:
+                f, p = G.periodograms(x, fs, n, n // 2, w)
+                mean = p.mean(0) if len(p) else np.zeros(0)
+                parts.append(pd.DataFrame({"window": w, "size": n, "freq": f[: len(mean)], "power": mean}))
+        return pd.concat(parts)
+
+    return _per_signal(df, keys, rows, "window string, size bigint, freq double, power double").where(F.col("freq") <= top)
+
+
+def event_features(df: DataFrame, keys: list[str], fs: float = 100.0) -> DataFrame:
+    """(keys, features): moments in the JVM, the spectral part in numpy, joined by event."""
+    v = F.col("value")
+    q = lambda p: F.percentile(v, p)
+    rms, mean_abs = F.sqrt(F.avg(v * v)), F.avg(F.abs(v))
+    g = df.groupBy(*keys).agg(
+        F.count(v).alias("n"), (F.count(v) / fs).alias("duration"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.var_pop(v).alias("var"), F.min(v).alias("vmin"), F.max(v).alias("vmax"),
+        (F.max(v) - F.min(v)).alias("range"), rms.alias("rms"), F.max(F.abs(v)).alias("peak"), F.sum(v * v).alias("energy"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt"), mean_abs.alias("mean_abs"),
+        q(0.1).alias("p10"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), q(0.9).alias("p90"), (q(0.75) - q(0.25)).alias("iqr"),
+        F.try_divide(F.max(F.abs(v)), rms).alias("crest"), F.try_divide(rms, mean_abs).alias("shape"), F.try_divide(F.max(F.abs(v)), mean_abs).alias("impulse"),
+        F.try_divide(F.stddev_pop(v), F.abs(F.avg(v))).alias("variation"),
+    )
+    return g.join(X.zero_crossings(df, keys, "value"), keys).join(event_spectra(df, keys, fs), keys)

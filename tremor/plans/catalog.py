@@ -1,22 +1,25 @@
 """All queries by name, on the driver's tables, with the SQL for those that SQL can express.
 
-Channels are the event types of `events`; weigh-in-motion records are `orders`;
-the bridge is `supplier`; waveforms are `embeddings`.
+Channels are the event types of `events`, and a day of a channel stands for a file:
+signals (`sensor`) are files, so no window, sort or Python call holds more than one.
+Weigh-in-motion records are `orders`; the bridge is `supplier`; waveforms are
+`embeddings`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.functions import scalars as S
-from tremor.operators import bridge, cluster, correlate, events, samples, spectral, stats, tracking, traffic
+from tremor.operators import bridge, cluster, correlate, events, reports, samples, spectral, stats, tracking, traffic
 from tremor.operators import windows as X
 
 KEY = ["sensor"]
-HOURLY = ["sensor", "hour"]
+COUNT = 0.980665  # a channel's unit in cm/s^2
 HIT = 150.0
 SPAN = 5
 
@@ -42,8 +45,8 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-CTE = """s0 AS (SELECT event_type AS sensor, date_trunc('hour', ts) AS hour, event_id, user_id, ts, value FROM events),
-s AS (SELECT sensor, CAST(row_number() OVER (PARTITION BY sensor ORDER BY ts, event_id) - 1 AS BIGINT) AS i, ts, user_id, value FROM s0),
+CTE = """s0 AS (SELECT event_type || '/' || strftime(ts, '%Y-%m-%d') AS sensor, event_type AS channel, event_id, user_id, ts, value * CAST(0.980665 AS DOUBLE) AS value FROM events),
+s AS (SELECT sensor, channel, CAST(row_number() OVER (PARTITION BY sensor ORDER BY ts, event_id) - 1 AS BIGINT) AS i, ts, user_id, value FROM s0),
 c AS (SELECT sensor, i, ts, user_id, value - avg(value) OVER (PARTITION BY sensor) AS value FROM s),
 m AS (SELECT *, max(CASE WHEN abs(value) >= 150 THEN 1 ELSE 0 END) OVER (PARTITION BY sensor ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 1 AS active FROM c),
 r0 AS (SELECT *, CASE WHEN active AND NOT coalesce(lag(active) OVER (PARTITION BY sensor ORDER BY i), false) THEN 1 ELSE 0 END AS st FROM m),
@@ -55,11 +58,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-def raw(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events").select(F.col("event_type").alias("sensor"), F.date_trunc("hour", "ts").alias("hour"), "event_id", "user_id", "ts", "value")
+def raw(spark, sf, since=None, until=None) -> DataFrame:
+    """Samples of the files from the day of ``since`` to that of ``until``: the days are pushed down to the scan."""
+    e = table(spark, sf, "events")
+    if since is not None:
+        e = e.where((F.col("ts") >= F.lit(since).cast("date").cast("timestamp_ntz")) & (F.col("ts") < F.date_add(F.lit(until).cast("date"), 1).cast("timestamp_ntz")))
+    e = e.select(F.concat_ws("/", "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("sensor"), F.col("event_type").alias("channel"), "event_id", "user_id", "ts", (F.col("value") * COUNT).alias("value"))
     return samples.index(e, KEY, "ts", "event_id").withColumn("i", F.col("i").cast("long"))
 
 
+def _by_channel(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").select(F.col("event_type").alias("sensor"), "ts", (F.col("value") * COUNT).alias("value"))
+
+
 def signal(spark, sf) -> DataFrame:
     return samples.remove_dc(raw(spark, sf), KEY)
 
@@ -87,14 +98,14 @@ def dc_removal(spark, sf):
 
 @query("SELECT sensor, i, ts FROM s WHERE ts >= (SELECT min(ts) FROM events) + INTERVAL 1 HOUR AND ts <= (SELECT min(ts) FROM events) + INTERVAL 6 HOUR")
 def time_window_closed(spark, sf):
-    start = table(spark, sf, "events").agg(F.min("ts") + F.expr("interval 1 hour")).first()[0]
-    return samples.between(raw(spark, sf), start, 300).select("sensor", "i", "ts")
+    start = table(spark, sf, "events").agg(F.min("ts")).first()[0] + timedelta(hours=1)
+    return samples.between(raw(spark, sf, start, start + timedelta(minutes=300)), start, 300).select("sensor", "i", "ts")
 
 
 @query("SELECT sensor, i, ts FROM s WHERE ts >= (SELECT min(ts) FROM events) AND ts < (SELECT min(ts) FROM events) + INTERVAL 15 MINUTE")
 def time_window_halfopen(spark, sf):
     start = table(spark, sf, "events").agg(F.min("ts")).first()[0]
-    return samples.between(raw(spark, sf), start, 15, closed=False).select("sensor", "i", "ts")
+    return samples.between(raw(spark, sf, start, start + timedelta(minutes=15)), start, 15, closed=False).select("sensor", "i", "ts")
 
 
 @query("SELECT sensor, i, round(value, 4) + 0.0 AS value FROM c WHERE i % 5 = 0")
@@ -145,7 +156,7 @@ def isolated_timestamps(spark, sf):
 
 @query("SELECT sensor, user_id, event_id FROM (SELECT event_type AS sensor, user_id, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY value DESC, event_id) AS n FROM events) WHERE n = 1")
 def dedup_heaviest(spark, sf):
-    return X.first_rows(raw(spark, sf), ["sensor", "user_id"], F.desc("value"), "event_id").select("sensor", "user_id", "event_id")
+    return X.first_rows(raw(spark, sf).drop("sensor").withColumnRenamed("channel", "sensor"), ["sensor", "user_id"], F.desc("value"), "event_id").select("sensor", "user_id", "event_id")
 
 
 @query("SELECT user_id, sensor, i, round(date_diff('microsecond', min(ts) OVER (PARTITION BY user_id), ts) / 1e6, 6) AS rel FROM s")
@@ -154,7 +165,7 @@ def relative_seconds(spark, sf):
     return out(raw(spark, sf).select("user_id", "sensor", "i", rel.alias("rel")), 6)
 
 
-@query("SELECT sensor, cluster, CAST(count(*) AS BIGINT) AS n, min(value) AS lo FROM (SELECT sensor, value, CAST(sum(CASE WHEN value - p <= 0.5 THEN 0 ELSE 1 END) OVER (PARTITION BY sensor ORDER BY value, i) AS BIGINT) AS cluster FROM (SELECT *, lag(value) OVER (PARTITION BY sensor ORDER BY value, i) AS p FROM s)) GROUP BY sensor, cluster")
+@query("SELECT sensor, cluster, CAST(count(*) AS BIGINT) AS n, round(min(value), 4) AS lo FROM (SELECT sensor, value, CAST(sum(CASE WHEN value - p <= 0.5 THEN 0 ELSE 1 END) OVER (PARTITION BY sensor ORDER BY value, i) AS BIGINT) AS cluster FROM (SELECT *, lag(value) OVER (PARTITION BY sensor ORDER BY value, i) AS p FROM s)) GROUP BY sensor, cluster")
 def velocity_clusters(spark, sf):
     d = X.gap_islands(raw(spark, sf), KEY, "value", 0.5, "cluster")
     return out(d.groupBy("sensor", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo")))
@@ -242,9 +253,9 @@ def adaptive_events(spark, sf):
 # --- aggregates ---------------------------------------------------------------
 
 
-@query("SELECT sensor, mean, std, round(mean + round(3 * std, 6), 4) AS threshold_x FROM (SELECT sensor, round(avg(abs(value)), 6) AS mean, round(stddev_samp(abs(value)), 6) AS std FROM s GROUP BY sensor)")
+@query("SELECT sensor, mean, std, round(mean + round(3 * std, 6), 4) AS threshold_x FROM (SELECT channel AS sensor, round(avg(abs(value)), 6) AS mean, round(stddev_samp(abs(value)), 6) AS std FROM s GROUP BY channel)")
 def sensor_thresholds(spark, sf):
-    return stats.sensor_thresholds(raw(spark, sf)).withColumn("threshold_x", F.round("threshold_x", 4))
+    return stats.sensor_thresholds(_by_channel(spark, sf)).withColumn("threshold_x", F.round("threshold_x", 4))
 
 
 @query("SELECT sensor, i // 100 AS chunk, first(ts ORDER BY i) AS start_time, last(ts ORDER BY i) AS end_time, round(avg(value), 4) + 0.0 AS mean, round(var_pop(value), 4) + 0.0 AS variance, round(CASE WHEN var_pop(value) > 0 THEN ln(var_pop(value)) END, 4) + 0.0 AS log_variance FROM s GROUP BY sensor, chunk")
@@ -425,17 +436,17 @@ def waves(spark, sf) -> DataFrame:
     return e.select("vec_id", F.col("i").cast("long").alias("i"), F.col("value").cast("double").alias("value"))
 
 
-@query(f"WITH {E}, t AS (SELECT vec_id, i - 8 AS k, value + 0.01 * i AS t FROM em WHERE i BETWEEN 8 AND 23), l AS (SELECT vec_id, lag, t.t, em.value FROM t JOIN (SELECT unnest(range(33)) AS lag) ON true JOIN em USING (vec_id) WHERE em.i = 4 + lag + k) SELECT vec_id, lag, round(sum(t * value) / (sqrt(sum(t * t)) * sqrt(sum(value * value))), 4) + 0.0 AS score FROM l GROUP BY vec_id, lag HAVING count(*) = 16")
+@query(f"WITH {E}, t AS (SELECT vec_id, i - 8 AS k, value + 0.01 * i AS t FROM em WHERE i BETWEEN 8 AND 23), l AS (SELECT vec_id, lag, t.t, em.value FROM t JOIN (SELECT unnest(range(60)) AS lag) ON true JOIN em USING (vec_id) WHERE em.i = 4 + lag + k AND 4 + lag < 64 - 16) SELECT vec_id, lag, round(sum(t * value) / (sqrt(sum(t * t)) * sqrt(sum(value * value))), 4) + 0.0 AS score FROM l GROUP BY vec_id, lag HAVING count(*) = 16")
 def template_slide(spark, sf):
     w = waves(spark, sf)
     t = w.where("i between 8 and 23").select("vec_id", (F.col("i") - 8).alias("k"), (F.col("value") + 0.01 * F.col("i")).alias("t"), F.lit(4).cast("long").alias("start"))
-    return out(correlate.template_slide(t, w, ["vec_id"], 32))
+    return out(correlate.template_slide(t, w, ["vec_id"], 60))
 
 
-@query(f"WITH {E}, a AS (SELECT vec_id, i, value FROM em WHERE i < 32), b AS (SELECT vec_id, i - 32 AS i, value FROM em WHERE i >= 32), ms AS (SELECT vec_id, avg(value) FILTER (i < 32) AS m1, avg(value) FILTER (i >= 32) AS m2, 32 * var_pop(value) FILTER (i < 32) AS e1, 32 * var_pop(value) FILTER (i >= 32) AS e2 FROM em GROUP BY vec_id) SELECT vec_id, a.i - b.i AS lag, round(sum((a.value - m1) * (b.value - m2)) / sqrt(any_value(e1) * any_value(e2)), 4) + 0.0 AS score FROM a JOIN b USING (vec_id) JOIN ms USING (vec_id) WHERE a.i - b.i BETWEEN -5 AND 5 GROUP BY vec_id, lag")
+@query(f"WITH {E}, a AS (SELECT vec_id, i, value FROM em WHERE i < 32), b AS (SELECT vec_id, i - 32 AS i, value FROM em WHERE i >= 32), ms AS (SELECT vec_id, avg(value) FILTER (i < 32) AS m1, avg(value) FILTER (i >= 32) AS m2, 32 * var_pop(value) FILTER (i < 32) AS e1, 32 * var_pop(value) FILTER (i >= 32) AS e2 FROM em GROUP BY vec_id) SELECT vec_id, a.i - b.i AS lag, round(sum((a.value - m1) * (b.value - m2)) / sqrt(any_value(e1) * any_value(e2)), 4) + 0.0 AS score FROM a JOIN b USING (vec_id) JOIN ms USING (vec_id) GROUP BY vec_id, lag")
 def cross_corr(spark, sf):
     w = waves(spark, sf)
-    return out(correlate.cross_correlation(w.where("i < 32"), w.where("i >= 32").withColumn("i", F.col("i") - 32), ["vec_id"], 5))
+    return out(correlate.cross_correlation(w.where("i < 32"), w.where("i >= 32").withColumn("i", F.col("i") - 32), ["vec_id"], 31))
 
 
 @query(f"WITH {E}, l AS (SELECT label, i, avg(value) AS v FROM em JOIN embeddings USING (vec_id) GROUP BY label, i) SELECT CAST(x.label AS BIGINT) AS label_1, CAST(y.label AS BIGINT) AS label_2, round(avg(abs(x.v - y.v)), 4) + 0.0 AS mae, round(corr(x.v, y.v), 4) + 0.0 AS pearson_corr, round(sum(x.v * y.v) / sqrt(sum(x.v * x.v) * sum(y.v * y.v)), 4) + 0.0 AS cosine_sim FROM l x JOIN l y ON x.i = y.i AND x.label < y.label GROUP BY ALL")
@@ -499,14 +510,14 @@ def event_spectra(spark, sf):
 
 # --- clustering ---------------------------------------------------------------
 
-FEATURES = ["f0", "f1", "f2", "f3"]
+FEATURES = [f"f{k}" for k in range(64)]
 
 
 def _features(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", *(F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(4)))
+    return table(spark, sf, "embeddings").select("vec_id", *(F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(64)))
 
 
-@query("WITH f AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS f{k}" for k in range(4)) + " FROM embeddings) SELECT vec_id, " + ", ".join(f"round((f{k} - avg(f{k}) OVER ()) / stddev_pop(f{k}) OVER (), 4) + 0.0 AS f{k}" for k in range(4)) + " FROM f")
+@query("WITH f AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS f{k}" for k in range(64)) + " FROM embeddings) SELECT vec_id, " + ", ".join(f"round((f{k} - avg(f{k}) OVER ()) / stddev_pop(f{k}) OVER (), 4) + 0.0 AS f{k}" for k in range(64)) + " FROM f")
 def standard_scale(spark, sf):
     return out(cluster.standard_scale(_features(spark, sf), FEATURES))
 
@@ -518,7 +529,7 @@ def pca(spark, sf):
 
 @query()
 def kmeans(spark, sf):
-    return cluster.kmeans(cluster.standard_scale(_features(spark, sf), FEATURES), FEATURES, 5)[0].select("vec_id", "cluster")
+    return cluster.kmeans(cluster.standard_scale(_features(spark, sf), FEATURES), FEATURES)[0].select("vec_id", "cluster")
 
 
 @query()
@@ -529,7 +540,7 @@ def cluster_indices(spark, sf):
 
 @query()
 def dbscan(spark, sf):
-    return cluster.dbscan(_features(spark, sf), "vec_id", FEATURES, 0.12, 4)
+    return cluster.dbscan(_features(spark, sf), "vec_id", FEATURES[:4], 0.12, 4)
 
 
 # --- tracking -----------------------------------------------------------------
@@ -589,17 +600,17 @@ def _sensor_events(spark, sf):
     return table(spark, sf, "events").select(F.col("event_type").alias("sensor"), F.col("event_id").alias("event"), (F.col("event_id") * 11.0).alias("t"), (F.length("event_type") * 100.0).alias("pos"))
 
 
-WIM = "v AS (SELECT o_orderkey AS vehicle, o_orderkey * 7.0 AS entry, 15 + o_custkey % 15 - 10 / 3.6 AS lo, 15 + o_custkey % 15 + 10 / 3.6 AS hi FROM orders), e AS (SELECT event_type AS sensor, event_id AS event, event_id * 11.0 AS t, length(event_type) * 100.0 AS pos FROM events), z AS (SELECT sensor, event, vehicle, t, entry + ((pos + 2300) / hi + (pos + 2300) / lo) / 2 AS mu, ((pos + 2300) / lo - (pos + 2300) / hi) / 2 AS sg FROM v, e), g AS (SELECT sensor, event, vehicle, exp(-0.5 * pow((t - mu) / sg, 2)) AS score FROM z WHERE abs(t - mu) <= 5 * sg)"
+WIM = "v AS (SELECT o_orderkey AS vehicle, o_orderkey * 7.0 AS entry, 15 + o_custkey % 15 - 10 / 3.6 AS lo, 15 + o_custkey % 15 + 10 / 3.6 AS hi FROM orders), e AS (SELECT event_type AS sensor, event_id AS event, event_id * 11.0 AS t, length(event_type) * 100.0 AS pos FROM events), z AS (SELECT sensor, event, vehicle, t, entry + ((pos + 2300) / hi + (pos + 2300) / lo) / 2 AS mu, ((pos + 2300) / lo - (pos + 2300) / hi) / 2 AS sg FROM v, e), g AS (SELECT sensor, event, vehicle, exp(-0.5 * pow((t - mu) / sg, 2)) AS score FROM z WHERE exp(-0.5 * pow((t - mu) / sg, 2)) > 1e-15)"
 
 
 @query(f"WITH {WIM} SELECT sensor, event, vehicle, round(score, 4) AS score FROM g")
 def wim_gaussian(spark, sf):
-    return out(tracking.wim_gaussian(_vehicles(spark, sf), _sensor_events(spark, sf)))
+    return out(tracking.wim_gaussian(_vehicles(spark, sf), _sensor_events(spark, sf)).where("score > 1e-15"))
 
 
 @query(f"WITH {WIM} SELECT sensor, event, first(vehicle ORDER BY round(score, 9) DESC, vehicle) AS vehicle FROM g GROUP BY sensor, event")
 def ownership(spark, sf):
-    s = tracking.wim_gaussian(_vehicles(spark, sf), _sensor_events(spark, sf)).withColumn("score", F.round("score", 9))
+    s = tracking.wim_gaussian(_vehicles(spark, sf), _sensor_events(spark, sf)).where("score > 1e-15").withColumn("score", F.round("score", 9))
     return tracking.ownership(s).select("sensor", "event", "vehicle")
 
 
@@ -621,12 +632,15 @@ def propagated_score(spark, sf):
 # --- reshaping and sets -------------------------------------------------------
 
 
-@query("SELECT user_id, " + ", ".join(f"max(CASE WHEN sensor = '{s}' THEN round(value, 4) END) AS {s}" for s in ("click", "view", "purchase")) + " FROM s GROUP BY user_id")
+CHANNELS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query(f"WITH {CTE} SELECT user_id, " + ", ".join(f"max(CASE WHEN channel = '{s}' THEN round(value, 4) END) AS {s}" for s in CHANNELS) + " FROM s GROUP BY user_id")
 def pivot_peaks(spark, sf):
-    return out(raw(spark, sf).groupBy("user_id").pivot("sensor", ["click", "view", "purchase"]).agg(F.max("value")))
+    return out(raw(spark, sf).groupBy("user_id").pivot("channel", CHANNELS).agg(F.max("value")))
 
 
-@query("WITH p AS (SELECT vec_id, CAST(unnest(range(4)) AS VARCHAR) AS n, unnest(embedding[1:4]) AS v FROM embeddings) SELECT vec_id, 'f' || n AS name, round(CAST(v AS DOUBLE), 4) + 0.0 AS value FROM p")
+@query("WITH p AS (SELECT vec_id, CAST(unnest(range(64)) AS VARCHAR) AS n, unnest(embedding) AS v FROM embeddings) SELECT vec_id, 'f' || n AS name, round(CAST(v AS DOUBLE), 4) + 0.0 AS value FROM p")
 def unpivot_peaks(spark, sf):
     return out(_features(spark, sf).unpivot(["vec_id"], FEATURES, "name", "value"))
 
@@ -637,3 +651,211 @@ def set_operations(spark, sf):
     b = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
     n = lambda part, d: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "n")
     return n("both", a.intersect(b)).unionByName(n("first", a.subtract(b))).unionByName(n("all", a.union(b).distinct()))
+
+
+# --- reports ------------------------------------------------------------------
+
+
+@query(f"WITH {CTE}{TRIGGER}, z AS (SELECT split_part(sensor, '/', 1) AS channel, (end_idx - start_idx) * CAST(0.01 AS DOUBLE) AS s FROM ev) SELECT channel, count(*) AS n, round(min(s), 4) AS shortest, round(max(s), 4) AS longest, round(avg(s), 4) AS mean, round(quantile_cont(s, 0.5), 4) AS median FROM z GROUP BY channel")
+def event_statistics(spark, sf):
+    ev = events.triggers(signal(spark, sf), KEY, 200.0, 10, 3).withColumn("channel", F.split_part("sensor", F.lit("/"), F.lit(1)))
+    return out(reports.event_statistics(ev, ["channel"], 0.01))
+
+
+@query(f"WITH {CTE}, b AS (SELECT min(ts) AS t0 FROM events) SELECT channel, round(min(date_diff('microsecond', t0, ts) / 1e6), 4) AS first_s FROM s, b WHERE abs(value) >= 150 GROUP BY channel")
+def first_activation(spark, sf):
+    t0 = table(spark, sf, "events").agg(F.min("ts")).first()[0]
+    d = raw(spark, sf).where(F.abs("value") >= HIT).withColumn("s", F.timestamp_diff("MICROSECOND", F.lit(t0).cast("timestamp_ntz"), F.col("ts")) / 1e6)
+    return out(reports.first_activation(d, ["channel"], "s"))
+
+
+@query(f"WITH {B} SELECT count(*) AS n, min(th) AS lo, max(th) AS hi, round(avg(th), 6) AS mean FROM t")
+def threshold_report(spark, sf):
+    return out(reports.range_report(_thresholds(spark, sf), "trigger_threshold"), 6)
+
+
+@query("SELECT name, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS lo, round(quantile_cont(v, 0.25), 4) AS q1, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.75), 4) AS q3, round(max(v), 4) AS hi FROM (SELECT 'o_totalprice' AS name, o_totalprice * 0.37::DOUBLE AS v FROM orders UNION ALL SELECT 'o_custkey', o_custkey * 0.37::DOUBLE FROM orders) GROUP BY name")
+def describe(spark, sf):
+    o = table(spark, sf, "orders").select((F.col("o_totalprice") * 0.37).alias("o_totalprice"), (F.col("o_custkey") * 0.37).alias("o_custkey"))
+    return out(reports.describe(o, ["o_totalprice", "o_custkey"]))
+
+
+CROSS = f"""{T}, cl AS (SELECT datetime, total AS total_classi FROM tc WHERE minute(datetime) <> 0), co AS (SELECT datetime, Car + Truck AS total_lanes FROM tc WHERE minute(datetime) <> 15), tr AS (SELECT datetime, Van + Bus AS transits FROM tc WHERE minute(datetime) <> 30),
+x AS (SELECT datetime, total_classi, total_lanes, transits, total_classi - total_lanes AS classi_corsie, total_classi - transits AS classi_transiti FROM cl FULL JOIN co USING (datetime) FULL JOIN tr USING (datetime))"""
+
+
+@query(f"WITH {CROSS} SELECT name, CAST(count(*) FILTER (v IS NULL) AS BIGINT) AS nulls FROM (SELECT 'total_classi' AS name, total_classi AS v FROM x UNION ALL SELECT 'total_lanes', total_lanes FROM x UNION ALL SELECT 'transits', transits FROM x) GROUP BY name")
+def null_counts(spark, sf):
+    return reports.null_counts(cross_validation(spark, sf), ["total_classi", "total_lanes", "transits"])
+
+
+@query(f"WITH {CROSS} SELECT name, count(*) FILTER (v = 0) AS equal, round(avg(v), 4) + 0.0 AS mean, round(stddev_samp(v), 4) + 0.0 AS std, round(max(v), 4) AS hi, round(min(v), 4) AS lo FROM (SELECT 'classi_corsie' AS name, classi_corsie::DOUBLE AS v FROM x UNION ALL SELECT 'classi_transiti', classi_transiti::DOUBLE FROM x) GROUP BY name")
+def discrepancies(spark, sf):
+    return out(reports.differences(cross_validation(spark, sf), ["classi_corsie", "classi_transiti"]))
+
+
+@query(f"WITH {T}, w AS (SELECT datetime, date, total * 0.37::DOUBLE AS v FROM tc) SELECT date, round(avg(v), 4) AS mean, round(max(v), 4) AS hi, round(min(v), 4) AS lo, round(stddev_samp(v), 4) AS std, round(sum(v), 4) AS total, first(datetime ORDER BY v DESC, datetime) AS hi_at, first(datetime ORDER BY v, datetime) AS lo_at FROM w GROUP BY date")
+def day_statistics(spark, sf):
+    return out(reports.day_statistics(quarters(spark, sf).withColumn("v", F.col("total") * 0.37), "v"))
+
+
+@query(f"WITH {T} SELECT strftime(date, '%d/%m/%Y') AS date, count(*) AS records FROM tc GROUP BY date")
+def records_per_date(spark, sf):
+    return reports.records_per_date(quarters(spark, sf))
+
+
+@query(f"WITH {T}, r AS (SELECT strftime(date, '%d/%m/%Y') AS date, count(*) AS records FROM tc GROUP BY tc.date) SELECT count(*) AS dates, min(date) AS first, max(date) AS last FROM r")
+def date_range(spark, sf):
+    return reports.date_range(reports.records_per_date(quarters(spark, sf)))
+
+
+@query(f"WITH {T} SELECT datetime, total FROM tc WHERE strftime(date, '%d/%m/%Y') = '15/01/2024'")
+def day_filter(spark, sf):
+    return quarters(spark, sf).where(F.date_format("date", "dd/MM/yyyy") == "15/01/2024").select("datetime", "total")
+
+
+@query("SELECT row, event_id, ts FROM (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) - 1 AS row FROM events) WHERE row BETWEEN 300 AND 399")
+def positional_slice(spark, sf):
+    d = reports.rows_between(table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"], 300, 400)
+    return d.select(F.col("row").cast("long").alias("row"), "event_id", "ts")
+
+
+@query("SELECT props_value, min(event_id) AS event_id FROM (SELECT user_id % 97 AS props_value, event_id FROM events) GROUP BY props_value")
+def ordered_distinct(spark, sf):
+    e = table(spark, sf, "events").select((F.col("user_id") % 97).alias("props_value"), "event_id")
+    return reports.ordered_distinct(e, "props_value", "event_id")
+
+
+@query("WITH a AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS x FROM lineitem WHERE l_linenumber = 1), b AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS y FROM lineitem WHERE l_linenumber = 2) SELECT k, x, y FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY x) AS n FROM a) JOIN (SELECT *, row_number() OVER (PARTITION BY k ORDER BY y DESC) AS n FROM b) USING (k, n)")
+def reversed_bind(spark, sf):
+    o = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("x"))
+    a, b = o.where("l_linenumber = 1").select("k", "x"), o.where("l_linenumber = 2").select("k", F.col("x").alias("y"))
+    return reports.bind_reversed(a, b, ["k"], "x", "y").select("k", "x", "y")
+
+
+@query("WITH a AS (SELECT date_trunc('hour', ts) AS t, count(*) AS clicks FROM events WHERE event_type = 'click' AND user_id % 3 = 0 GROUP BY t), b AS (SELECT date_trunc('hour', ts) AS t, count(*) AS errors FROM events WHERE event_type = 'error' AND user_id % 3 = 1 GROUP BY t) SELECT t, clicks, errors FROM a FULL JOIN b USING (t)")
+def isolated_merge(spark, sf):
+    e = table(spark, sf, "events").withColumn("t", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    n = lambda kind, rest, name: e.where((F.col("event_type") == kind) & (F.col("user_id") % 3 == rest)).groupBy("t").agg(F.count(F.lit(1)).alias(name))
+    return reports.isolated_merge(n("click", 0, "clicks"), n("error", 1, "errors"), "t")
+
+
+@query(f"WITH {T}, l AS (SELECT datetime, total, strftime(datetime, '%d/%m/%Y %H:%M') || ' - ' || strftime(datetime + INTERVAL 15 MINUTE, '%H:%M') AS label FROM tc), r AS (SELECT 0::BIGINT AS range_id, ' 08:00 - 08:15' AS a, '15/01/2024' AS d UNION ALL SELECT 1, ' 17:30 - 17:45', '16/01/2024' UNION ALL SELECT 2, ' 25:00', '15/01/2024') SELECT range_id, CAST(coalesce(first(total ORDER BY datetime) FILTER (total IS NOT NULL), 0) AS BIGINT) AS total FROM r LEFT JOIN l ON contains(label, a) AND contains(label, d) GROUP BY range_id")
+def vehicle_counts(spark, sf):
+    end = F.timestamp_add("MINUTE", F.lit(15), F.col("datetime"))
+    label = F.concat(F.date_format("datetime", "dd/MM/yyyy HH:mm"), F.lit(" - "), F.date_format(end, "HH:mm"))
+    q = quarters(spark, sf).select(F.col("datetime").alias("row"), label.alias("label"), "total")
+    ranges = spark.createDataFrame([(0, " 08:00 - 08:15", "15/01/2024"), (1, " 17:30 - 17:45", "16/01/2024"), (2, " 25:00", "15/01/2024")], "range_id long, range_text string, day_text string")
+    return reports.vehicle_counts(q, ranges, ["total"])
+
+
+@query(f"WITH {T} SELECT day_type, CAST(sum(Truck + Bus) AS BIGINT) AS total, round(avg(Truck + Bus), 4) AS mean, round(sum(Truck) * 100.0 / sum(Truck + Bus), 4) AS truck_pct FROM tc GROUP BY day_type")
+def heavy_patterns(spark, sf):
+    return out(reports.heavy_patterns(traffic.load_columns(quarters(spark, sf))))
+
+
+@query(f"WITH {T} SELECT day_type, round(avg(total) FILTER (hour BETWEEN 6 AND 9), 4) AS morning, round(avg(total) FILTER (hour BETWEEN 16 AND 19), 4) AS evening FROM tc GROUP BY day_type")
+def rush_hours(spark, sf):
+    return out(reports.rush_hours(quarters(spark, sf), "total"))
+
+
+@query(f"WITH {T} SELECT isodow(datetime) - 1 AS weekday, sum(total) / 4 AS total, sum(Truck) / 4 AS Truck FROM tc GROUP BY isodow(datetime)")
+def weekday_profile(spark, sf):
+    return out(reports.weekday_profile(quarters(spark, sf), ["total", "Truck"]))
+
+
+@query(f"WITH {T}, g AS (SELECT hour, {', '.join(f'sum({c}) AS {c}' for c in CLASSES)} FROM tc GROUP BY hour) SELECT hour, {', '.join(f'round({c} * 100.0 / (Car + Bus + Motorbike + Truck + Van), 4) AS {c}' for c in CLASSES)} FROM g")
+def hour_class_shares(spark, sf):
+    return out(reports.row_shares(quarters(spark, sf), "hour", CLASSES))
+
+
+@query(f"WITH {T} SELECT hour, round(avg((Truck + Bus) * total) FILTER (day_type = 'Weekday'), 4) AS Weekday, round(avg((Truck + Bus) * total) FILTER (day_type = 'Weekend'), 4) AS Weekend FROM tc GROUP BY hour")
+def stress_pivot(spark, sf):
+    d = traffic.load_columns(quarters(spark, sf)).groupBy("hour").pivot("day_type", ["Weekday", "Weekend"]).agg(F.avg("stress_score"))
+    return out(d)
+
+
+@query(f"WITH {T} SELECT datetime, total, round(avg(total) OVER (PARTITION BY date ORDER BY datetime ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS ma FROM tc")
+def traffic_moving_average(spark, sf):
+    d = X.rolling_mean(quarters(spark, sf), ["date"], "datetime", "total", 4, centre=True)
+    return out(d.select("datetime", "total", "ma"))
+
+
+@query("WITH b AS (SELECT s_suppkey AS sensor_id, s_nationkey AS span, s_nationkey * 1000 + (s_suppkey // 2) * 2.5 AS dist, CASE WHEN s_suppkey % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM supplier) SELECT CAST(span AS BIGINT) AS span, side AS part, count(*) AS n, string_agg(CAST(sensor_id AS VARCHAR), ',' ORDER BY dist, sensor_id) AS ids FROM b GROUP BY span, side")
+def bridge_by_side(spark, sf):
+    side = F.when(F.col("sensor_id") % 2 == 0, "left").otherwise("right")
+    return reports.by_axis(_sensors(spark, sf), side)
+
+
+@query(r"""WITH l AS (SELECT event_id, strftime(ts, '%d/%m/%Y %H:%M') AS txt, CASE WHEN event_id % 7 = 0 THEN 'x' || event_id ELSE CAST(event_id AS VARCHAR) END AS num FROM events)
+SELECT event_id, regexp_extract(txt, '(\d{1,2}:\d{2})', 1) AS clock, regexp_extract(txt, '(\d{2}/\d{2}/\d{4})', 1) AS day, CAST(split_part(regexp_extract(txt, '(\d{1,2}:\d{2})', 1), ':', 1) AS BIGINT) * 60 + CAST(split_part(regexp_extract(txt, '(\d{1,2}:\d{2})', 1), ':', 2) AS BIGINT) AS minutes, CASE WHEN regexp_matches(num, '^[0-9]+$') THEN CAST(num AS BIGINT) ELSE -1 END AS num, txt || ' vs ' || num AS label FROM l""")
+def text_scalars(spark, sf):
+    num = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("x"), F.col("event_id"))).otherwise(F.col("event_id").cast("string"))
+    d = table(spark, sf, "events").select("event_id", F.date_format("ts", "dd/MM/yyyy HH:mm").alias("txt"), num.alias("num"))
+    clock = S.clock_text(F.col("txt"))
+    return out(d.select("event_id", clock.alias("clock"), S.date_text(F.col("txt")).alias("day"), S.clock_minutes(clock).alias("minutes"), S.digits(F.col("num")).alias("num"), S.pair_label(F.col("txt"), F.col("num")).alias("label")))
+
+
+@query("SELECT CAST(label AS BIGINT) AS cluster, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS pct FROM embeddings GROUP BY label")
+def cluster_distribution(spark, sf):
+    return out(cluster.distribution(table(spark, sf, "embeddings").withColumnRenamed("label", "cluster")))
+
+
+@query(f"WITH {WIM}, n AS (SELECT sensor, event, vehicle, score / sum(score) OVER (PARTITION BY sensor, event) AS score FROM g WHERE score > 1e-3) SELECT sensor, event, vehicle, round(score, 4) AS score FROM n")
+def event_normalised(spark, sf):
+    s = tracking.wim_gaussian(_vehicles(spark, sf), _sensor_events(spark, sf)).where("score > 1e-3")
+    return out(reports.normalised(s, ["sensor", "event"], "score"))
+
+
+@query(f"WITH {WIM}, o AS (SELECT sensor, event, vehicle, round(score, 9) AS score FROM g), r AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second FROM o WINDOW w AS (PARTITION BY sensor, event ORDER BY score DESC, vehicle)) SELECT sensor, event, round(score, 4) AS best, round(second, 4) AS second, coalesce(second >= 0.8 * score, false) AS ambiguous FROM r WHERE n = 1")
+def ambiguous_events(spark, sf):
+    s = tracking.wim_gaussian(_vehicles(spark, sf), _sensor_events(spark, sf)).where("score > 1e-15").withColumn("score", F.round("score", 9))
+    return out(reports.ambiguous(s))
+
+
+@query(f"WITH {WIM}, q AS (SELECT vehicle, sensor, event, event * 11.0 AS t FROM g WHERE score >= 0.05) SELECT vehicle, sensor, event, round(t, 4) AS t, round(t - min(t) OVER (PARTITION BY vehicle), 4) AS elapsed FROM q")
+def progression_points(spark, sf):
+    e = _sensor_events(spark, sf)
+    s = tracking.wim_gaussian(_vehicles(spark, sf), e).join(e.select("sensor", "event", "t"), ["sensor", "event"])
+    return out(reports.progression_points(s))
+
+
+@query("WITH v AS (SELECT o_orderkey AS vehicle, o_orderkey * 7.0 AS entry, 15 + o_custkey % 15 - 10 / 3.6 AS lo, 15 + o_custkey % 15 + 10 / 3.6 AS hi FROM orders), p AS (SELECT DISTINCT event_type AS sensor, length(event_type) * 100.0 AS pos FROM events), m AS (SELECT vehicle, sensor, entry + ((pos + 2300) / hi + (pos + 2300) / lo) / 2 AS mu, ((pos + 2300) / lo - (pos + 2300) / hi) / 2 AS sg FROM v, p) SELECT vehicle, sensor, k, round(mu + (k - 4) * sg, 4) AS t, round(exp(-0.5 * pow(k - 4, 2)), 4) AS density FROM m, (SELECT unnest(range(9)) AS k)")
+def gaussian_curves(spark, sf):
+    places = _sensor_events(spark, sf).select("sensor", "pos").distinct()
+    return out(reports.gaussian_curve(_vehicles(spark, sf), places, points=9))
+
+
+@query()
+def track_lines(spark, sf):
+    d = _detections(spark, sf)
+    t = tracking.extend(tracking.seeds(d), d, 30.0)
+    return out(reports.track_lines(t.where("u is not null"), d.select("x")))
+
+
+@query()
+def propagated_unified(spark, sf):
+    return out(reports.unified(tracking.propagated(_vehicles(spark, sf), _sensor_events(spark, sf))), 6)
+
+
+@query()
+def event_features_37(spark, sf):
+    """The feature table of triggered events: moments, crossings, percentiles and the spectral part."""
+    d = signal(spark, sf)
+    ev = events.triggers(d, KEY, 200.0, 10, 3)
+    return out(spectral.event_features(events.samples_of(ev, d, KEY).select("sensor", "event", "i", "value"), ["sensor", "event"]), 6)
+
+
+@query()
+def fft_round_trip(spark, sf):
+    return out(spectral.round_trip(signal(spark, sf), KEY), 6)
+
+
+@query()
+def fft_magnitude(spark, sf):
+    return out(spectral.fft_magnitude(signal(spark, sf), KEY), 6)
+
+
+@query()
+def welch_grid(spark, sf):
+    return out(spectral.welch_grid(signal(spark, sf), KEY, sizes=[64, 128]), 6)
