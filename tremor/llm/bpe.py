@@ -263,7 +263,8 @@ def decode(df: DataFrame, rank_path: str, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches):
         _, by_id, _ = _vocabulary(rank_path)
-        for batch in batches:
+        # some hundred documents at a time
+        for batch in (b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256)):
             out = []
             for ids, ends in zip(batch.column("ids").to_pylist(), batch.column("offsets").to_pylist()):
                 text = b"".join([by_id[i] for i in np.frombuffer(ids, "<u4").tolist()])
