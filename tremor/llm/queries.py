@@ -50,8 +50,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeats.remove_repeats(K.read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select(F.col("_id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """Repeats of 400 bytes, and beside them the words in passages of over 50 words that other documents have too."""
+    out = repeats.remove_repeats(K.read(spark, sf_dir, "documents").select("doc_id", "text"), passage=repeats.PASSAGE)
+    return out.select(F.col("_id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
 def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +81,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`conversations` rendered as a mailbox with nested quotes; the reply order that the quotes give."""
     out = quotes.link(quotes.render(K.read(spark, sf_dir, "conversations")))
-    return out.select(F.col("conv").alias("conv_id"), "turn", "parent_conv", "parent_turn", "root_conv", "root_turn", "depth", "n_quotes", F.sha2(F.col("own").cast("binary"), 256).alias("own_sha256"))
+    return out.select(F.col("conv").alias("conv_id"), "turn", "parent_conv", "parent_turn", "root_conv", "root_turn", "depth", "position", "n_quotes", F.sha2(F.col("own").cast("binary"), 256).alias("own_sha256"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,15 +97,36 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = [op1_chroma_fingerprints, op2_line_dedup, op3_suffix_dedup, op4_bm25_packing, op5_bagminhash, op6_toxicity, op7_quality, op8_quotation_linking, op9_byte_bpe, op10_host_rules]
 
+#: renders the mailbox, then parses it again: lines, levels, runs, pieces, links, chains
 OP8_SQL = r"""
-WITH m AS (SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
-n AS (SELECT *, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM m),
-g AS (SELECT *, lag(norm) OVER o AS before, lag(turn) OVER o AS prev FROM n WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
-b AS (SELECT *, sum(CASE WHEN coalesce(before, '') = '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM g)
-SELECT conv_id, turn, CASE WHEN before <> '' THEN conv_id END AS parent_conv, CASE WHEN before <> '' THEN prev END AS parent_turn,
- conv_id AS root_conv, min(turn) OVER (PARTITION BY conv_id, run) AS root_turn, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS depth,
- CASE WHEN before <> '' THEN 1 ELSE 0 END::BIGINT AS n_quotes, sha256(text) AS own_sha256
-FROM b
+WITH RECURSIVE base AS (SELECT conv_id AS c, turn AS t, min(coalesce(text, '')) AS x FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+prev AS (SELECT *, lag(x) OVER o AS one, lag(x, 2) OVER o AS two FROM base WINDOW o AS (PARTITION BY c ORDER BY t)),
+box AS (SELECT c, t, CASE t % 4 WHEN 2 THEN concat_ws(chr(10), '> ' || string_split(one, chr(10))[-1], x)
+  WHEN 3 THEN concat_ws(chr(10), '> > ' || replace(two, chr(10), chr(10) || '> > '), x)
+  ELSE concat_ws(chr(10), '> > ' || replace(two, chr(10), chr(10) || '> > '), '> ' || replace(one, chr(10), chr(10) || '> '), x) END AS body FROM prev),
+raw AS (SELECT c, t, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM box),
+lines AS (SELECT c, t, i, length(regexp_replace(regexp_extract(line, '^([ \t>]*>)', 1), '[ \t]', '', 'g')) AS lev, regexp_replace(line, '^([ \t]*>)+[ \t]?', '') AS line FROM raw),
+turns AS (SELECT *, CASE WHEN lev = lag(lev) OVER (PARTITION BY c, t ORDER BY i) THEN 0 ELSE 1 END AS new FROM lines),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY c, t ORDER BY i) AS place FROM turns),
+pass AS (SELECT c, t, place, lev, string_agg(line, chr(10) ORDER BY i) AS text FROM runs GROUP BY ALL),
+own AS (SELECT c, t, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (lev = 0), '') AS own FROM lines GROUP BY ALL),
+texts AS (SELECT c, t, 0 AS place, 0 AS lev, own AS text FROM own UNION ALL SELECT * FROM pass),
+cut AS (SELECT c, t, place, lev, 0 AS kind, text AS piece FROM texts
+  UNION ALL SELECT c, t, place, lev, 1, unnest(regexp_split_to_array(text, '\n([ \t]*\n)+')) FROM texts
+  UNION ALL SELECT c, t, place, lev, 2, unnest(string_split(text, chr(10))) FROM texts),
+normed AS (SELECT c, t, place, lev, kind, trim(regexp_replace(lower(piece), '[^\p{L}\p{N}]+', ' ', 'g')) AS n FROM cut),
+target AS (SELECT c, t, n, min(kind) AS kind FROM normed WHERE lev = 0 AND n <> '' GROUP BY ALL),
+quote AS (SELECT c, t, place, lev, n, min(kind) AS kind FROM normed WHERE lev > 0 AND n <> '' GROUP BY ALL),
+inside AS (SELECT q.c, q.t, q.place, q.n, max(o.t) AS pt FROM quote q JOIN target o ON q.c = o.c AND q.n = o.n AND o.t < q.t GROUP BY ALL),
+first AS (SELECT n, min(row(c, t)) AS f FROM target WHERE kind < 2 GROUP BY n),
+cand AS (SELECT q.c, q.t, q.place, q.lev, q.kind, false AS outside, q.c AS pc, i.pt AS pt FROM quote q JOIN inside i USING (c, t, place, n)
+  UNION ALL SELECT q.c, q.t, q.place, q.lev, q.kind, true, f[1], f[2] FROM quote q JOIN first USING (n) WHERE q.kind < 2 AND f < row(q.c, q.t)),
+best AS (SELECT c, t, arg_min(row(pc, pt), row(lev, kind, outside, place)) AS p, count(DISTINCT place) AS n_quotes FROM cand GROUP BY ALL),
+up AS (SELECT own.*, p[1] AS pc, p[2] AS pt, coalesce(n_quotes, 0) AS n_quotes FROM own LEFT JOIN best USING (c, t)),
+tree AS (SELECT c, t, c AS rc, t AS rt, 0::BIGINT AS depth FROM up WHERE pc IS NULL UNION ALL SELECT u.c, u.t, rc, rt, depth + 1 FROM up u JOIN tree ON u.pc = tree.c AND u.pt = tree.t)
+SELECT c AS conv_id, t AS turn, pc AS parent_conv, pt AS parent_turn, rc AS root_conv, rt AS root_turn, depth,
+ row_number() OVER (PARTITION BY rc, rt ORDER BY depth, c, t) - 1 AS position, n_quotes::BIGINT AS n_quotes, sha256(own) AS own_sha256
+FROM up JOIN tree USING (c, t)
 """
 
 
