@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tremor.llm import bagminhash, bpe, chroma, host_rules, line_dedup, pack, quality, quotes, repeats, toxicity
@@ -277,6 +278,41 @@ def test_line_dedup_with_different_texts_of_one_id(spark):
     assert cut[0] == cut[1] and len(cut[0]) < 100 and len(next(t for i, t in got if i == 3)) < len(body)
 
 
+def test_planted_passages_of_lines_go(spark):
+    """Without the operator's chunks: of a repeated passage only lines near its edges stay, and no other line goes."""
+    rng = random.Random(51)
+    passage = [[prose(rng, 6, 5000) for _ in range(n)] for n in (2, 3, 8, 30)]
+    texts, planted = [], []
+    for i in range(80):
+        own = [prose(rng, 6, 5000) for _ in range(rng.randint(3, 12))]
+        at = rng.randint(0, len(own))
+        p = passage[i % 4]
+        texts.append("\n".join(own[:at] + p + own[at:]))
+        planted.append(p)
+    got = {r.doc_id: (r.text or "").split("\n") for r in line_dedup.dedup(docs(spark, texts)).collect()}
+    left = {n: 0 for n in (2, 3, 8, 30)}
+    for i, t in enumerate(texts):
+        lines, p = t.split("\n"), planted[i]
+        lost = [x for x in lines if x not in got[i]]
+        assert set(lost) <= set(p), i
+        if i >= 4:
+            left[len(p)] += sum(x in got[i] for x in p)
+        else:
+            assert got[i] == lines  # the first of each stays
+    assert left[30] <= 19 * 8 and left[8] <= 19 * 7  # of 570 and 152 lines
+
+
+def test_chunks_have_two_lines():
+    rng = random.Random(52)
+    for n in [*range(1, 12), 40, 300]:
+        for same in (False, True):
+            t = ["x" if same else prose(rng, 3) for _ in range(n)]
+            b = "\n".join(t).encode()
+            s, e, lines, doc, k = line_dedup.chunk_spans(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+            assert lines.sum() == n and (n == 1 or lines.min() >= 2) and lines.max() <= 2 * line_dedup.MOST
+            assert s[0] == 0 and e[-1] == len(b) and (s[1:] == e[:-1]).all() and k.tolist() == list(range(len(s)))
+
+
 def test_line_chunks_resist_shifts():
     rng = random.Random(5)
     body = [prose(rng, 6) for _ in range(60)]
@@ -381,6 +417,58 @@ def test_quality_held_out_accuracy(spark, empty):
     assert none.base == 0.5 and quality.score(empty, none).count() == 0
 
 
+def test_random_indexing_equals_plain_sums():
+    """Pooled vectors against sums that are written out word by word."""
+    rng = random.Random(61)
+    texts = ["", "a", *(prose(rng, rng.randint(3, 40), 12) + "!? 42" for _ in range(20))]
+    raw = [t.encode() for t in texts]
+    offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    h, doc = quality.words(np.frombuffer(b"".join(raw), np.uint8), offs)
+    by_doc = [h[doc == d].tolist() for d in range(len(texts))]
+    # words, digits and signs apart
+    assert [len(x) for x in by_doc] == [len(regex.findall(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]+", t)) for t in texts]
+
+    def index(w):
+        v = np.zeros(quality.DIM)
+        for k in range(quality.NONZERO):
+            bits = (w >> (12 * k)) & ((1 << 64) - 1)
+            v[bits & (quality.DIM - 1)] += 1.0 - 2.0 * ((bits >> 8) & 1)
+        return v
+
+    count = {}
+    for ws in by_doc:
+        for w in ws:
+            count[w] = count.get(w, 0) + 1
+    context = {w: np.zeros(quality.DIM) for w, n in count.items() if n >= 3}
+    for ws in by_doc:
+        for i, w in enumerate(ws):
+            for j in range(max(0, i - quality.WINDOW), min(len(ws), i + quality.WINDOW + 1)):
+                if w in context and j != i:
+                    context[w] += index(ws[j])
+    got = quality.Vectors(h, doc).pool(h, doc, len(texts))
+    for d, ws in enumerate(by_doc):
+        n = max(1, len(ws))
+        plain = sum((index(w) for w in ws), np.zeros(quality.DIM)) / n
+        ctx = sum((context[w] / max(np.linalg.norm(context[w]), 1e-9) for w in ws if w in context), np.zeros(quality.DIM)) / n
+        want = [*plain, *ctx, np.linalg.norm(plain), np.linalg.norm(ctx), np.log(n) / 10]
+        assert np.allclose(got[d], want, atol=1e-5), d
+
+
+def test_temperature_is_that_of_least_loss():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 4))
+    y = (x[:, 0] + rng.normal(size=400) > 0).astype(float)
+    net = quality.Network(x[:300], y[:300], rounds=10)
+
+    def loss(t):
+        q = 1 / (1 + np.exp(-net.logit(x[300:]) / t))
+        return -np.mean(np.log(np.where(y[300:] == 1, q, 1 - q) + 1e-9))
+
+    net.calibrate(x[300:], y[300:])
+    assert all(loss(net.temperature) <= loss(t) + 1e-3 for t in np.linspace(0.3, 8, 200))
+    assert np.allclose(net.score(x[300:]), 1 / (1 + np.exp(-net.logit(x[300:]) / net.temperature)))
+
+
 def test_toxicity_finds_disguised_words(spark, empty):
     rng = random.Random(8)
     base = ["that", "thing", "often", "there", "round", "ether", "onset", "insane"]
