@@ -7,6 +7,7 @@ the memory of a Python worker is bounded by the block and the longest text.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -19,6 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 # freed blocks go back to the system, as idle workers stay alive beside the JVM
 pa.set_memory_pool(pa.system_memory_pool())
 
+
+def give_back() -> None:
+    """Return what the C library holds free; elsewhere than on glibc nothing is done."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 BLOCK_BYTES = 1 << 19
 
 # bytes that end a word: space and \t \n \v \f \r
@@ -64,6 +73,7 @@ def blocks(batches, text: str = "text", limit: int = BLOCK_BYTES):
         data, offs = text_buffers(batch.column(text))
         for a, b in cut_rows(offs, limit):
             yield batch.slice(a, b - a), data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -430,6 +430,7 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
         if ids:
             sequences, rest = pack_shard(ids, stats, begin, window)
             yield from rows(sequences + tail(rest), names, ids)
+        K.give_back()
 
     schema = f"_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
     return routed(tokens, stats).select("_id", "ids").mapInArrow(run, schema).withColumnRenamed("_id", id_col)
