@@ -449,13 +449,23 @@ def cross_corr(spark, sf):
     return out(correlate.cross_correlation(w.where("i < 32"), w.where("i >= 32").withColumn("i", F.col("i") - 32), ["vec_id"], 31))
 
 
-@query(f"WITH {E}, l AS (SELECT label, i, avg(value) AS v FROM em JOIN embeddings USING (vec_id) GROUP BY label, i) SELECT CAST(x.label AS BIGINT) AS label_1, CAST(y.label AS BIGINT) AS label_2, round(avg(abs(x.v - y.v)), 4) + 0.0 AS mae, round(corr(x.v, y.v), 4) + 0.0 AS pearson_corr, round(sum(x.v * y.v) / sqrt(sum(x.v * x.v) * sum(y.v * y.v)), 4) + 0.0 AS cosine_sim FROM l x JOIN l y ON x.i = y.i AND x.label < y.label GROUP BY ALL")
+@query(f"""WITH {E}, l AS (SELECT label, i, avg(value) AS v FROM em JOIN embeddings USING (vec_id) GROUP BY label, i), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+m AS (SELECT label, sum(i * abs(v)) / sum(abs(v)) AS centroid, sum(abs(v)) FILTER (i >= 48) AS high FROM l GROUP BY label), k AS (SELECT * FROM n JOIN m USING (label)),
+c AS (SELECT x.label AS a, y.label AS b, avg(abs(x.v - y.v)) AS mae, corr(x.v, y.v) AS r, sum(x.v * y.v) / sqrt(sum(x.v * x.v) * sum(y.v * y.v)) AS cs FROM l x JOIN l y ON x.i = y.i AND x.label < y.label GROUP BY ALL)
+SELECT CAST(a AS BIGINT) AS label_1, CAST(b AS BIGINT) AS label_2, round(mae, 4) + 0.0 AS mae, round(r, 4) + 0.0 AS pearson_corr, round(cs, 4) + 0.0 AS cosine_sim, x.n - y.n AS veh_diff, round(x.centroid - y.centroid, 4) + 0.0 AS centroid_diff, round(x.high - y.high, 4) + 0.0 AS high_band_diff
+FROM c JOIN k x ON x.label = a JOIN k y ON y.label = b""")
 def spectrum_compare(spark, sf):
     w = waves(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id")
     g = w.groupBy("label", "i").agg(F.avg("value").alias("v"))
     # labels are few: a row for each label and bin
     p = g.withColumnsRenamed({"label": "label_1", "v": "v_1"}).join(g.withColumnsRenamed({"label": "label_2", "v": "v_2"}), "i").where("label_1 < label_2")
-    return out(p.groupBy("label_1", "label_2").agg(*stats.compare("v_1", "v_2")))
+    p = p.groupBy("label_1", "label_2").agg(*stats.compare("v_1", "v_2"))
+    count = table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    own = g.groupBy("label").agg(F.try_divide(F.sum(F.col("i") * F.abs("v")), F.sum(F.abs("v"))).alias("centroid"), F.sum(F.when(F.col("i") >= 48, F.abs("v"))).alias("high")).join(count, "label")
+    side = lambda k: own.select(*(F.col(c).alias(f"{c}_{k}") for c in own.columns))
+    p = p.join(side(1), "label_1").join(side(2), "label_2")
+    gap = lambda c: F.col(f"{c}_1") - F.col(f"{c}_2")
+    return out(p.select("label_1", "label_2", "mae", "pearson_corr", "cosine_sim", gap("n").alias("veh_diff"), gap("centroid").alias("centroid_diff"), gap("high").alias("high_band_diff")))
 
 
 @query(f"WITH {E} SELECT vec_id, bin, round(pow(sum(value * cos(2 * pi() / 64 * ((i * bin) % 64))), 2) + pow(sum(value * sin(2 * pi() / 64 * ((i * bin) % 64))), 2), 4) + 0.0 AS power FROM em, (SELECT unnest(range(33)) AS bin) GROUP BY vec_id, bin")
