@@ -35,7 +35,7 @@ def runs(df: DataFrame, keys: list[str], flag: Column = F.col) -> DataFrame:
 def moments(value: str = "value") -> list[Column]:
     """Statistics of an event's samples; deviation, skew and kurtosis are of the population."""
     v = F.col(value)
-    return [F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("vmin"), F.max(v).alias("vmax"), F.sqrt(F.avg(v * v)).alias("rms"), F.max(F.abs(v)).alias("peak"), F.sum(v * v).alias("energy"), F.kurtosis(v).alias("kurt")]
+    return [F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("vmin"), F.max(v).alias("vmax"), F.sqrt(F.avg(v * v)).alias("rms"), F.max(F.abs(v)).alias("peak"), F.sum(v * v).alias("energy"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt")]
 
 
 def event_summary(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -196,10 +196,14 @@ def event_runs(spark, sf):
     return out(events.runs(active(spark, sf), KEY))
 
 
-@query(f"WITH {CTE}{RUN} SELECT sensor, run, min(i) AS start_idx, max(i) + 1 AS end_idx, count(*) AS n, round(avg(value), 4) + 0.0 AS mean, round(stddev_pop(value), 4) + 0.0 AS std, round(min(value), 4) + 0.0 AS vmin, round(max(value), 4) + 0.0 AS vmax, round(sqrt(avg(value * value)), 4) + 0.0 AS rms, round(max(abs(value)), 4) + 0.0 AS peak, round(sum(value * value), 2) + 0.0 AS energy FROM g GROUP BY sensor, run")
+@query(f"""WITH {CTE}{RUN}, z AS (SELECT *, value - avg(value) OVER (PARTITION BY sensor, run) AS d, count(*) OVER (PARTITION BY sensor, run) AS k FROM g)
+SELECT sensor, run, min(i) AS start_idx, max(i) + 1 AS end_idx, count(*) AS n, round(avg(value), 4) + 0.0 AS mean, round(stddev_pop(value), 4) + 0.0 AS std, round(min(value), 4) + 0.0 AS vmin, round(max(value), 4) + 0.0 AS vmax, round(sqrt(avg(value * value)), 4) + 0.0 AS rms, round(max(abs(value)), 4) + 0.0 AS peak, round(sum(value * value), 2) + 0.0 AS energy,
+CASE WHEN count(*) > 1 THEN round(avg(d * d * d) / pow(avg(d * d), 1.5), 3) + 0.0 END AS skew, CASE WHEN count(*) > 1 THEN round(avg(d * d * d * d) / pow(avg(d * d), 2) - 3, 3) + 0.0 END AS kurt FROM z GROUP BY sensor, run""")
 def event_summary(spark, sf):
-    d = events.event_summary(active(spark, sf), KEY).drop("kurt")
-    return out(d.withColumn("energy", F.round("energy", 2)))
+    d = events.event_summary(active(spark, sf), KEY)
+    # one sample has neither; two or more of one value can't arise from this signal
+    shape = {c: F.when(F.col("n") > 1, F.round(c, 3)) for c in ("skew", "kurt")}
+    return out(d.withColumns({"energy": F.round("energy", 2), **shape}))
 
 
 @query(f"""WITH {CTE}{RUN}, n AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM g WINDOW w AS (PARTITION BY sensor, run ORDER BY i)),
