@@ -688,9 +688,9 @@ def threshold_report(spark, sf):
     return out(reports.range_report(_thresholds(spark, sf), "trigger_threshold"), 6)
 
 
-@query("SELECT name, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS lo, round(quantile_cont(v, 0.25), 4) AS q1, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.75), 4) AS q3, round(max(v), 4) AS hi FROM (SELECT 'o_totalprice' AS name, o_totalprice * 0.37::DOUBLE AS v FROM orders UNION ALL SELECT 'o_custkey', o_custkey * 0.37::DOUBLE FROM orders) GROUP BY name")
+@query("SELECT name, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS lo, round(quantile_cont(v, 0.25), 4) AS q1, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.75), 4) AS q3, round(max(v), 4) AS hi FROM (SELECT 'o_totalprice' AS name, o_totalprice * 0.980665::DOUBLE AS v FROM orders UNION ALL SELECT 'o_custkey', o_custkey * 0.980665::DOUBLE FROM orders) GROUP BY name")
 def describe(spark, sf):
-    o = table(spark, sf, "orders").select((F.col("o_totalprice") * 0.37).alias("o_totalprice"), (F.col("o_custkey") * 0.37).alias("o_custkey"))
+    o = table(spark, sf, "orders").select((F.col("o_totalprice") * COUNT).alias("o_totalprice"), (F.col("o_custkey") * COUNT).alias("o_custkey"))
     return out(reports.describe(o, ["o_totalprice", "o_custkey"]))
 
 
