@@ -445,7 +445,7 @@ def test_random_indexing_equals_plain_sums():
             for j in range(max(0, i - quality.WINDOW), min(len(ws), i + quality.WINDOW + 1)):
                 if w in context and j != i:
                     context[w] += index(ws[j])
-    got = quality.Vectors(h, doc).pool(h, doc, len(texts))
+    got = quality.Vectors([(h, doc)]).pool(h, doc, len(texts))
     for d, ws in enumerate(by_doc):
         n = max(1, len(ws))
         plain = sum((index(w) for w in ws), np.zeros(quality.DIM)) / n

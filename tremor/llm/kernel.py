@@ -221,11 +221,11 @@ def hot_join(big: DataFrame, small: DataFrame, keys: list[str], count: str) -> D
     """
     from pyspark.sql import functions as F
 
-    total = small.agg(F.sum(count)).first()[0] or 0
+    total, most = (x or 0 for x in small.agg(F.sum(count), F.max(count)).first())
     bar = max(HOT_ROWS, total // 1000)
-    hot, cold = small.where(F.col(count) > bar), small.where(F.col(count) <= bar)
-    if total <= bar or not hot.limit(1).count():
+    if most <= bar:
         return big.join(small, keys)
+    hot, cold = small.where(F.col(count) > bar), small.where(F.col(count) <= bar)
     return big.join(F.broadcast(hot), keys).unionByName(big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
 
 

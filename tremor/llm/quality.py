@@ -73,35 +73,42 @@ def index_parts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bits & (DIM - 1), 1.0 - 2.0 * ((bits >> 8) & 1)
 
 
-def index_sums(h: np.ndarray, group: np.ndarray, n: int, step: int = 500_000) -> np.ndarray:
+def index_sums(h: np.ndarray, group: np.ndarray, n: int, step: int = 100_000) -> np.ndarray:
     """The sum of index vectors by group."""
     out = np.zeros(n * DIM)
     for a in range(0, len(h), step):
         pos, sign = index_parts(h[a : a + step])
-        out += np.bincount((group[a : a + step, None] * DIM + pos).ravel(), sign.ravel(), n * DIM)
+        at = (group[a : a + step, None] * DIM + pos).ravel()
+        if len(out) > 8 * step:  # many groups: without an array of them for each step
+            np.add.at(out, at, sign.ravel())
+        else:
+            out += np.bincount(at, sign.ravel(), len(out))
     return out.reshape(n, DIM)
 
 
 class Vectors:
     """Context vectors of the sample's frequent words, sorted by hash."""
 
-    def __init__(self, h: np.ndarray, doc: np.ndarray):
-        known, at, count = np.unique(h, return_inverse=True, return_counts=True)
+    def __init__(self, blocks: list[tuple[np.ndarray, np.ndarray]]):
+        """From the (word hash, document) of blocks of whole documents; beside them, one block's arrays are held at a time."""
+        each = [np.unique(h, return_counts=True) for h, _ in blocks]
+        known, at = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
+        count = np.bincount(at, np.concatenate([n for _, n in each]), len(known)).astype(np.int64)
         often = np.flatnonzero(count >= 3)
         often = np.sort(often[np.argsort(-count[often], kind="stable")[:VOCABULARY]])
-        place = np.full(len(known), -1)
-        place[often] = np.arange(len(often))
-        word = place[at]
+        self.hash = known[often]
         total = np.zeros((len(often), DIM))
-        for step in range(1, WINDOW + 1):
-            same = doc[step:] == doc[:-step]
-            for mine, other in ((slice(step, None), slice(None, -step)), (slice(None, -step), slice(step, None))):
-                ok = same & (word[mine] >= 0)
-                for a in range(0, len(same), 500_000):
-                    o = ok[a : a + 500_000]
-                    total += index_sums(h[other][a : a + 500_000][o], word[mine][a : a + 500_000][o], len(often))
+        for h, doc in blocks if len(often) else ():
+            word = np.searchsorted(self.hash, h)
+            word[word == len(often)] = 0
+            word[self.hash[word] != h] = -1
+            for step in range(1, WINDOW + 1):
+                same = doc[step:] == doc[:-step]
+                for mine, other in ((slice(step, None), slice(None, -step)), (slice(None, -step), slice(step, None))):
+                    ok = same & (word[mine] >= 0)
+                    total += index_sums(h[other][ok], word[mine][ok], len(often))
         size = np.linalg.norm(total, axis=1, keepdims=True)
-        self.hash, self.vector = known[often], (total / np.maximum(size, 1e-9)).astype(np.float32)
+        self.vector = (total / np.maximum(size, 1e-9)).astype(np.float32)
 
     def pool(self, h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         """Pooled vectors of ``n`` documents."""
@@ -177,12 +184,15 @@ class Model:
         if len(set(y.tolist())) < 2:
             return
         blocks = []
-        for a in range(0, len(texts), 256):
-            raw = [t.encode("utf-8") for t in texts[a : a + 256]]
+        for a in range(0, len(texts), 128):
+            raw = [t.encode("utf-8") for t in texts[a : a + 128]]
             offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-            blocks.append((*words(np.frombuffer(b"".join(raw), np.uint8), offs), len(raw), a))
-        self.vectors = Vectors(np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] + b[3] for b in blocks]))
-        x = np.vstack([self.vectors.pool(h, doc, n) for h, doc, n, _ in blocks])
+            h, doc = words(np.frombuffer(b"".join(raw), np.uint8), offs)
+            blocks.append((h, doc.astype(np.int16)))
+        self.vectors = Vectors(blocks)
+        x = np.vstack([self.vectors.pool(h, doc.astype(np.int64), min(128, len(texts) - 128 * k)) for k, (h, doc) in enumerate(blocks)])
+        del blocks
+        K.give_back()
         held = np.arange(len(y)) % 5 == 4
         if len(set(y[~held].tolist())) < 2:
             held[:] = False
