@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml.clustering import KMeans
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -65,7 +64,6 @@ def euclidean_silhouette(df: DataFrame, columns: list[str], label: str, block: i
     grows with the square of the rows, as in the reference, but no task holds
     more than two blocks, and only sums by row and cluster are shuffled.
     """
-    import numpy as np
     import pandas as pd
 
     n = df.count()
@@ -93,27 +91,95 @@ def euclidean_silhouette(df: DataFrame, columns: list[str], label: str, block: i
     return g.agg(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12)))).alias("silhouette"))
 
 
-def kmeans(df: DataFrame, columns: list[str], most: int = 10, seed: int = 42, starts: int = 10) -> tuple[DataFrame, list[tuple[int, float, float]]]:
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the nearest centre, its squared distance) of each row."""
+    d = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)
+    at = d.argmin(1)
+    return at, np.maximum(d[np.arange(len(x)), at], 0)
+
+
+def _spread(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """First centres from a sample: each with a chance in proportion to the squared distance from those before."""
+    centres = [x[rng.integers(len(x))]]
+    for _ in range(k - 1):
+        far = _nearest(x, np.array(centres))[1]
+        total = far.sum()
+        centres.append(x[rng.choice(len(x), p=far / total) if total > 0 else rng.integers(len(x))])
+    return np.array(centres)
+
+
+def kmeans(df: DataFrame, columns: list[str], most: int = 10, seed: int = 42, starts: int = 10, rounds: int = 100, sample: int = 4096) -> tuple[DataFrame, list[tuple[int, float, float]]]:
     """(rows with ``cluster``, curve of (k, inertia, silhouette)); the k of the best silhouette from 2 up.
 
-    For each k the best of ``starts`` seeds by inertia counts.  The choice of k
-    takes squared distances, which need one pass; ``euclidean_silhouette`` gives
-    the other figure for a clustering of moderate size.
+    For each k the best of ``starts`` starts by inertia counts.  All of them move
+    together: a round is one pass over the rows, and the driver gets sums for each
+    centre.  First centres come from ``sample`` rows.  The choice of k takes
+    squared distances, which need one pass; ``euclidean_silhouette`` gives the
+    other figure for a clustering of moderate size.
     """
-    d = VectorAssembler(inputCols=columns, outputCol="_v").transform(df).persist()
+    d = df.persist()
     n, curve, best = d.count(), [], None
     ks = range(2, min(most, n - 1) + 1)
-    fit = lambda ks: KMeans(k=ks[0], seed=ks[1], featuresCol="_v", predictionCol="cluster").fit(d)
-    with ThreadPoolExecutor(8) as pool:  # small jobs side by side
-        models = list(pool.map(fit, [(k, seed + s) for k in ks for s in range(starts)]))
-    for at, k in enumerate(ks):
-        model = min(models[at * starts : (at + 1) * starts], key=lambda m: m.summary.trainingCost)
-        out = model.transform(d).drop("_v")
+    if not ks:
+        return df.withColumn("cluster", F.lit(0)), curve
+    first = d.select(*(F.col(c).cast("double").alias(c) for c in columns)).orderBy(F.xxhash64(*columns), *columns).limit(sample).toPandas().to_numpy()
+    models = [(k, _spread(first, k, np.random.default_rng(seed + s))) for k in ks for s in range(starts)]
+    sums = [f"s{j}" for j in range(len(columns))]
+
+    def one_round(moving: list[int]):
+        centres = {m: models[m][1] for m in moving}
+
+        def run(batches):
+            for batch in batches:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+                rows = []
+                for m, c in centres.items():
+                    at, far = _nearest(x, c)
+                    total = np.zeros_like(c)
+                    np.add.at(total, at, x)
+                    count, cost = np.bincount(at, minlength=len(c)), np.bincount(at, far, len(c))
+                    rows += [(m, j, int(count[j]), float(cost[j]), *total[j].tolist()) for j in range(len(c))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["m", "c", "n", "cost", *sums])
+
+        schema = "m bigint, c bigint, n bigint, cost double, " + ", ".join(f"{c} double" for c in sums)
+        g = d.select(*columns).mapInArrow(run, schema).groupBy("m", "c").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *(F.sum(c).alias(c) for c in sums))
+        return g.toPandas()  # one row for each centre
+
+    moving, cost = list(range(len(models))), {}
+    for _ in range(rounds):
+        got = one_round(moving)
+        still = []
+        for m, g in got.groupby("m"):
+            k, old = models[m]
+            new = old.copy()
+            g = g[g.n > 0]
+            new[g.c.to_numpy()] = g[sums].to_numpy() / g.n.to_numpy()[:, None]
+            cost[m] = float(g.cost.sum())
+            models[m] = (k, new)
+            if np.abs(new - old).max() > 1e-6:
+                still.append(int(m))
+        moving = still
+        if not moving:
+            break
+    for k in ks:
+        m = min((i for i, (own, _) in enumerate(models) if own == k), key=lambda i: cost[i])
+        out = _labelled(d, columns, models[m][1])
         score = silhouette(out, columns, "cluster").first()[0]
-        curve.append((k, float(model.summary.trainingCost), float(score)))
+        curve.append((k, cost[m], float(score)))
         if best is None or score > best[0]:
             best = (score, out)
-    return (best[1] if best else df.withColumn("cluster", F.lit(0))), curve
+    return best[1], curve
+
+
+def _labelled(df: DataFrame, columns: list[str], centres: np.ndarray) -> DataFrame:
+    """``df`` with the number of the nearest centre as ``cluster``."""
+
+    def run(batches):
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_nearest(x, centres)[0].astype(np.int32))], [*batch.schema.names, "cluster"])
+
+    return df.mapInArrow(run, df.withColumn("cluster", F.lit(0)).schema)
 
 
 def distribution(df: DataFrame, label: str = "cluster") -> DataFrame:
