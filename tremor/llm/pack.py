@@ -65,7 +65,7 @@ class WordTokenizer:
 
     ODD = regex.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x85\xa0İ]|[^\u0000-ɏ‐-‧€]")
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -84,8 +84,8 @@ class WordTokenizer:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[vocab[a] << 20 | vocab[b]] = k
             self.joined.append(vocab[a + b])
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        #: ids of words and of their pieces: a piece by itself is a word of one piece
+        self.known: dict[str, bytes] = {}
         self.most = most
 
     def merge(self, s: str) -> bytes:
@@ -108,13 +108,13 @@ class WordTokenizer:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def piece(self, p: str) -> bytes:
-        out = self.pieces.get(p)
+        out = self.known.get(p)
         if out is None:
             s = p if p.isascii() and p.isalpha() else "".join([self.alphabet[b] for b in p.encode("utf-8")])
             out = self.merge(s) if len(s) <= 64 else np.array([t.id for t in self.model.tokenize(s)], "<u4").tobytes()
             # a full cache stays as it is: frequent pieces come first
-            if len(self.pieces) < self.most and len(p) <= 64:
-                self.pieces[p] = out
+            if len(self.known) < self.most and len(p) <= 64:
+                self.known[p] = out
         return out
 
     def word(self, w: str) -> bytes:
@@ -125,15 +125,15 @@ class WordTokenizer:
             out = self.piece(low[:-1]) + self.piece(low[-1])
         else:
             out = b"".join([self.piece(p) for p in SPLIT.findall(low)])
-        if len(self.words) < self.most // 2 and len(w) <= 64:
-            self.words[w] = out
+        if len(self.known) < self.most and len(w) <= 64:
+            self.known[w] = out
         return out
 
     def ids(self, text: str, plain: bool = False) -> np.ndarray:
         """``plain``: the text is known to have no byte marked in UNSURE."""
         if not plain and self.ODD.search(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
-        words, get = text.split(), self.words.get
+        words, get = text.split(), self.known.get
         found = [get(w) for w in words]
         if None in found:
             found = [self.word(w) if f is None else f for w, f in zip(words, found)]
@@ -315,7 +315,7 @@ def tail(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]
 def tokenise(df: DataFrame, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
     """(_id, at, ids): the ids of each document as 16-bit integers; ``at`` tells equal rows apart by id and text.
 
-    A row with a null ``ids`` has the ``df`` of a task's documents instead.
+    A row with a null ``ids`` has the ``df`` of a task's documents instead, with their number and their tokens.
     """
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = df.select(F.col(id_col).alias("_id"), body.alias("_text"), F.xxhash64(F.col(id_col), body).alias("at"))
@@ -323,7 +323,7 @@ def tokenise(df: DataFrame, vocabulary: str, id_col: str, text_col: str) -> Data
 
     def run(batches):
         tok = tokenizer(vocabulary)
-        df, documents, names = np.zeros(TERMS, np.int64), 0, None
+        df, documents, total, names = np.zeros(TERMS, np.int64), 0, 0, None
         for part, data, offs in K.blocks(batches, "_text"):
             names = part.schema.field("_id").type
             unsure = np.zeros(part.num_rows, bool)
@@ -333,12 +333,13 @@ def tokenise(df: DataFrame, vocabulary: str, id_col: str, text_col: str) -> Data
             for i in range(part.num_rows):
                 t = np.append(tok.ids(raw[at[i] : at[i + 1]].decode("utf-8"), not unsure[i]), np.uint32(END_ID)).astype("<u2")
                 df[np.unique(t)] += 1
+                total += len(t)
                 out.append(t.tobytes())
             documents += part.num_rows
             none = pa.nulls(part.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("at"), pa.array(out, pa.binary()), none], ["_id", "at", "ids", "df"])
         if documents:
-            counted = np.concatenate([df, [documents]]).astype("<i8").tobytes()
+            counted = np.concatenate([df, [documents, total]]).astype("<i8").tobytes()
             yield pa.RecordBatch.from_arrays([pa.nulls(1, names), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counted], pa.binary())], ["_id", "at", "ids", "df"])
 
     return src.mapInArrow(run, f"_id {kind}, at bigint, ids binary, df binary")
@@ -348,7 +349,7 @@ def statistics(tokens: DataFrame) -> Statistics:
     """Summed over the tasks' counts: what reaches the driver is bounded by the vocabulary."""
 
     def run(batches):
-        total = np.zeros(TERMS + 1, np.int64)
+        total = np.zeros(TERMS + 2, np.int64)
         for batch in batches:
             for x in batch.column("df").to_pylist():
                 total += np.frombuffer(x, "<i8")
@@ -356,10 +357,9 @@ def statistics(tokens: DataFrame) -> Statistics:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
     rows = tokens.where("df is not null").select("df").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(TERMS + 1, np.int64)
+    df = np.zeros(TERMS + 2, np.int64)
     df[rows.term.to_numpy(np.int64)] = rows.n.to_numpy(np.int64)
-    length = tokens.where("ids is not null").agg(F.sum(F.octet_length("ids").cast("long"))).first()[0] or 0
-    return Statistics(int(df[TERMS]), int(length) // 2, df[:TERMS])
+    return Statistics(int(df[TERMS]), int(df[TERMS + 1]), df[:TERMS])
 
 
 def routed(tokens: DataFrame, stats: Statistics) -> DataFrame:
