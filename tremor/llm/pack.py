@@ -65,7 +65,7 @@ class WordTokenizer:
 
     ODD = regex.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x85\xa0İ]|[^\u0000-ɏ‐-‧€]")
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -331,8 +331,12 @@ def tokenise(df: DataFrame, vocabulary: str, id_col: str, text_col: str) -> Data
             at, raw = offs.tolist(), data.tobytes()
             out = []
             for i in range(part.num_rows):
-                t = np.append(tok.ids(raw[at[i] : at[i + 1]].decode("utf-8"), not unsure[i]), np.uint32(END_ID)).astype("<u2")
-                df[np.unique(t)] += 1
+                ids = tok.ids(raw[at[i] : at[i + 1]].decode("utf-8"), not unsure[i])
+                t = np.empty(len(ids) + 1, "<u2")
+                t[:-1], t[-1] = ids, END_ID
+                terms = np.sort(t, kind="stable")  # by radix
+                df[terms[:-1][terms[1:] != terms[:-1]]] += 1
+                df[terms[-1]] += 1
                 total += len(t)
                 out.append(t.tobytes())
             documents += part.num_rows
