@@ -108,11 +108,11 @@ def _spread(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(centres)
 
 
-def kmeans(df: DataFrame, columns: list[str], most: int = 10, seed: int = 42, starts: int = 10, rounds: int = 100, sample: int = 4096) -> tuple[DataFrame, list[tuple[int, float, float]]]:
+def kmeans(df: DataFrame, columns: list[str], most: int = 10, seed: int = 42, starts: int = 10, rounds: int = 25, sample: int = 4096) -> tuple[DataFrame, list[tuple[int, float, float]]]:
     """(rows with ``cluster``, curve of (k, inertia, silhouette)); the k of the best silhouette from 2 up.
 
-    For each k the best of ``starts`` starts by inertia counts.  All of them move
-    together: a round is one pass over the rows, and the driver gets sums for each
+    For each k the best of ``starts`` starts by inertia counts, after at most
+    ``rounds`` rounds or when its centres hardly move.  All of them move together: a round is one pass over the rows, and the driver gets sums for each
     centre.  First centres come from ``sample`` rows.  The choice of k takes
     squared distances, which need one pass; ``euclidean_silhouette`` gives the
     other figure for a clustering of moderate size.
@@ -123,6 +123,7 @@ def kmeans(df: DataFrame, columns: list[str], most: int = 10, seed: int = 42, st
     if not ks:
         return df.withColumn("cluster", F.lit(0)), curve
     first = d.select(*(F.col(c).cast("double").alias(c) for c in columns)).orderBy(F.xxhash64(*columns), *columns).limit(sample).toPandas().to_numpy()
+    spread = float(first.var(0).mean())
     models = [(k, _spread(first, k, np.random.default_rng(seed + s))) for k in ks for s in range(starts)]
     sums = [f"s{j}" for j in range(len(columns))]
 
@@ -156,7 +157,7 @@ def kmeans(df: DataFrame, columns: list[str], most: int = 10, seed: int = 42, st
             new[g.c.to_numpy()] = g[sums].to_numpy() / g.n.to_numpy()[:, None]
             cost[m] = float(g.cost.sum())
             models[m] = (k, new)
-            if np.abs(new - old).max() > 1e-6:
+            if ((new - old) ** 2).sum() > 1e-4 * spread:
                 still.append(int(m))
         moving = still
         if not moving:
