@@ -79,12 +79,17 @@ def active(spark, sf) -> DataFrame:
     return events.activity_mask(signal(spark, sf), KEY, F.lit(HIT), SPAN)
 
 
+def _rounded(c, digits: int):
+    """Rounding by decimals is dear where a double is tiny: what rounds to zero is zero at once."""
+    return F.when(F.abs(c) < 0.1**digits / 4, 0.0).otherwise(F.round(c, digits) + 0.0)
+
+
 def out(df: DataFrame, digits: int = 4) -> DataFrame:
     """Whole numbers as long, and doubles rounded, as the SQL has them."""
     cols = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
-        cols.append((c.cast("long") if kind in ("int", "smallint") else F.round(c, digits) + 0.0 if kind == "double" else c).alias(name))
+        cols.append((c.cast("long") if kind in ("int", "smallint") else _rounded(c, digits) if kind == "double" else c).alias(name))
     return df.select(*cols)
 
 
