@@ -8,6 +8,7 @@ from tremor.plans import catalog
 
 SLOW = [
     "propagated_score",
+    "propagated_unified",
 ]
 
 
@@ -34,3 +35,13 @@ def test_blocks_of_pairs_do_not_change_scores(spark, monkeypatch):
 def test_tiny_scores_round_to_zero(spark):
     d = spark.createDataFrame([(x,) for x in (5e-7, 4.9e-7, -4e-7, 1e-300, -0.0, 0.1234565, None)], "x double")
     assert [repr(r.x) for r in catalog.out(d, 6).collect()] == ["1e-06", "0.0", "0.0", "0.0", "0.0", "0.123457", "None"]
+
+
+def test_unified_scores_take_the_best_from_the_kernel(spark):
+    from tremor.operators import reports, tracking
+
+    sf = "/root/testdata/sf0.001"
+    v, e = catalog._vehicles(spark, sf).where("vehicle < 200"), catalog._sensor_events(spark, sf)
+    quick, plain = reports.unified(tracking.propagated(v, e, best=True)), reports.unified(tracking.propagated(v, e))
+    assert quick.columns == plain.columns and sorted(map(repr, quick.collect())) == sorted(map(repr, plain.collect()))
+    assert "Window" not in quick._jdf.queryExecution().optimizedPlan().toString()

@@ -190,9 +190,9 @@ def longest_track(tracks: DataFrame, rank: int = 1) -> DataFrame:
 
 
 def unified(scores: DataFrame) -> DataFrame:
-    """Propagated scores under common names: the prior is the cumulative score over the best raw one."""
-    best = F.max("score").over(X.W.partitionBy("vehicle", "sensor"))
-    return scores.withColumn("prior", F.try_divide(F.col("cumulative"), best)).withColumn("bayes", F.col("prior") * F.col("score"))
+    """Propagated scores under common names: the prior is the cumulative score over the best raw one (``best``, if there)."""
+    best = F.col("best") if "best" in scores.columns else F.max("score").over(X.W.partitionBy("vehicle", "sensor"))
+    return scores.withColumn("prior", F.try_divide(F.col("cumulative"), best)).drop("best").withColumn("bayes", F.col("prior") * F.col("score"))
 
 
 def by_axis(sensors: DataFrame, column: Column) -> DataFrame:

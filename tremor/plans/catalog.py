@@ -854,7 +854,7 @@ def track_lines(spark, sf):
 
 @query()
 def propagated_unified(spark, sf):
-    return out(reports.unified(tracking.propagated(_vehicles(spark, sf), _sensor_events(spark, sf))), 6)
+    return out(reports.unified(tracking.propagated(_vehicles(spark, sf), _sensor_events(spark, sf), best=True)), 6)
 
 
 @query()
