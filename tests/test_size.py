@@ -9,6 +9,7 @@ from tremor.plans import catalog
 SLOW = [
     "propagated_score",
     "propagated_unified",
+    "dual_score",
 ]
 
 
