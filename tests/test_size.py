@@ -10,6 +10,7 @@ SLOW = [
     "propagated_score",
     "propagated_unified",
     "dual_score",
+    "tracker_temporal",
 ]
 
 
