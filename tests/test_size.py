@@ -12,6 +12,7 @@ SLOW = [
     "dual_score",
     "tracker_temporal",
     "track_extend",
+    "track_lines",
 ]
 
 
