@@ -13,6 +13,7 @@ SLOW = [
     "tracker_temporal",
     "track_extend",
     "track_lines",
+    "track_steps",
 ]
 
 
