@@ -15,6 +15,7 @@ SLOW = [
     "track_lines",
     "track_steps",
     "track_dedup",
+    "jpda",
 ]
 
 
