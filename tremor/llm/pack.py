@@ -23,7 +23,6 @@ the id and the text are ignored.
 
 from __future__ import annotations
 
-import json
 import struct
 import unicodedata
 
@@ -72,46 +71,17 @@ class WordTokenizer:
         self.tok.encode_special_tokens = True
         self.model = self.tok.model
         self.alphabet = _byte_alphabet()
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocab, end = model["vocab"], model["end_of_word_suffix"]
-        self.first = {c: vocab[c] for c in self.alphabet}
-        self.last = {c: vocab[c + end] for c in self.alphabet}
-        #: a pair of ids to its rank, and the rank to the id of both together
-        self.rank: dict[int, int] = {}
-        self.joined: list[int] = []
-        for k, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank[vocab[a] << 20 | vocab[b]] = k
-            self.joined.append(vocab[a + b])
         #: ids of words and of their pieces: a piece by itself is a word of one piece
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.word)
         self.most = most
 
-    def merge(self, s: str) -> bytes:
-        """Ids of a short piece: the pair of least rank first, leftmost among equals."""
-        first, get, none = self.first, self.rank.get, 1 << 30
-        ids = [first[c] for c in s[:-1]]
-        ids.append(self.last[s[-1]])
-        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
-        while ranks:
-            least = min(ranks)
-            if least == none:
-                break
-            i = ranks.index(least)
-            ids[i : i + 2] = [self.joined[least]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
-            if i < len(ranks):
-                ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
     def piece(self, p: str) -> bytes:
         out = self.known.get(p)
         if out is None:
+            # the library's merges: those of this vocabulary in Python took nearly thrice as long
             s = p if p.isascii() and p.isalpha() else "".join([self.alphabet[b] for b in p.encode("utf-8")])
-            out = self.merge(s) if len(s) <= 64 else np.array([t.id for t in self.model.tokenize(s)], "<u4").tobytes()
+            ids = [t.id for t in self.model.tokenize(s)]
+            out = struct.pack(f"<{len(ids)}I", *ids)
             # a full cache stays as it is: frequent pieces come first
             if len(self.known) < self.most and len(p) <= 64:
                 self.known[p] = out
@@ -133,11 +103,17 @@ class WordTokenizer:
         """``plain``: the text is known to have no byte marked in UNSURE."""
         if not plain and self.ODD.search(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
-        words, get = text.split(), self.known.get
-        found = [get(w) for w in words]
-        if None in found:
-            found = [self.word(w) if f is None else f for w, f in zip(words, found)]
-        return np.frombuffer(b"".join(found), "<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, text.split())), "<u4")
+
+
+class _Known(dict):
+    """Ids by word; a word that isn't there is asked for."""
+
+    def __init__(self, word):
+        self.word = word
+
+    def __missing__(self, w: str) -> bytes:
+        return self.word(w)
 
 
 #: bytes of a text that may have characters for the library: controls, and all beyond those of U+00C0 to U+00FF
@@ -183,9 +159,27 @@ def weights(tokens: list[np.ndarray], stats: Statistics):
 
 def route(tokens: list[np.ndarray], stats: Statistics) -> np.ndarray:
     """Two keys for each document: the least hashes of its strongest terms that another document has, 0 without any."""
-    doc, term, weight = weights(tokens, stats)
+    size = np.array([len(t) for t in tokens], np.int64)
+    sort = [np.sort(t, kind="stable") for t in tokens]  # 16-bit ids: by radix
+    term = np.concatenate(sort) if sort else np.zeros(0, "<u2")
+    edge = np.ones(len(term), bool)
+    edge[1:] = term[1:] != term[:-1]
+    ends = np.cumsum(size)
+    edge[(ends - size)[size > 0]] = True
+    at = np.flatnonzero(edge)
+    term, tf, doc = term[at], np.diff(at, append=len(term)), np.repeat(np.arange(len(tokens)), size)[at]
+    norm = K1 * (1 - B + B * size / stats.mean)
     shared = stats.df[term] > 1
-    doc, term, weight = doc[shared], term[shared], weight[shared]
+    doc, term, tf = doc[shared], term[shared].astype(np.int64), tf[shared]
+    weight = stats.idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+    # only a document's strongest, and what equals the last of them, are put in order
+    least = np.zeros(len(tokens))
+    first = np.searchsorted(doc, np.arange(len(tokens) + 1)).tolist()
+    for d, (i, j) in enumerate(zip(first, first[1:])):
+        if j - i > ROUTE_TERMS:
+            least[d] = np.partition(weight[i:j], j - i - ROUTE_TERMS)[j - i - ROUTE_TERMS]
+    strong = weight >= least[doc]
+    doc, term, weight = doc[strong], term[strong], weight[strong]
     order = np.lexsort((term, -weight, doc))
     doc, term = doc[order], term[order]
     rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
