@@ -86,3 +86,38 @@ def test_overlap_dedup_equals_comparing_all_kept(spark):
     got = tracking.overlap_dedup(spark.createDataFrame(rows, "track string, score double, dids array<long>"))
     assert {r.track for r in got.collect()} == want and len(want) < 150
     assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tracks_link_across_batches(spark):
+    import random
+
+    from tremor.operators import tracking
+
+    rng = random.Random(3)
+    rows = [(f"t{k}", rng.sample(range(100 * (k % 4), 100 * (k % 4) + 70), rng.randint(0, 3)) or None) for k in range(120)]
+    group = {name: {name} for name, _ in rows}
+    for a, x in rows:
+        for b, y in rows:
+            if set(x or ()) & set(y or ()) and group[a] is not group[b]:
+                group[a] |= group[b]
+                group.update(dict.fromkeys(group[a], group[a]))
+    t = spark.createDataFrame(rows, "track string, dids array<long>")
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for parts, batch in ((1, most), (5, 7), (3, 1)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = {r.track: r.component for r in tracking.shared(t.repartition(parts)).select("track", "component").collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        assert got == {name: min(g) for name, g in group.items()}
+
+
+def test_few_links_of_tracks_need_rounds(spark, monkeypatch):
+    from tremor.operators import graph, tracking
+
+    sf, links, plain = "/root/testdata/sf0.01", [], graph.components
+    monkeypatch.setattr(graph, "components", lambda e, **k: links.append(e.count()) or plain(e, **k))
+    d = graph.saved(catalog._detections(spark, sf))
+    tracks = graph.saved(tracking.extend(tracking.seeds(d), d, 30.0))
+    tracking.overlap_dedup(tracks).count()
+    assert links and sum(links) < tracks.count() / 10

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tremor.functions import scalars as S
 from tremor.operators import bridge, cluster, correlate, events, reports, samples, spectral, stats, tracking, traffic
 from tremor.operators import windows as X
+from tremor.operators.graph import saved
 
 KEY = ["sensor"]
 COUNT = 0.980665  # a channel's unit in cm/s^2
@@ -573,6 +574,10 @@ def _detections(spark, sf):
     return tracking.detections(d)
 
 
+def _saved_detections(spark, sf):
+    return saved(_detections(spark, sf))  # gate, seeds, positions and what follows each read them
+
+
 @query(f"WITH {D} SELECT a.event_id AS k, b.event_id AS j FROM d a JOIN d b ON b.p < a.p AND a.p - b.p <= 4 AND b.t BETWEEN a.t - (a.x - b.x) / 5 - 0.5 AND a.t - (a.x - b.x) / 50 + 0.5")
 def range_gate(spark, sf):
     return tracking.gate(_detections(spark, sf)).select("k", "j")
@@ -605,7 +610,7 @@ def track_dedup(spark, sf):
 
 @query()
 def jpda(spark, sf):
-    d = _detections(spark, sf)
+    d = _saved_detections(spark, sf)
     p = tracking.jpda(tracking.overlap_dedup(tracking.extend(tracking.seeds(d), d, 30.0)), d)
     return out(tracking.hard(p), 6)
 
